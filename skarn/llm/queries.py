@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import bisect, burst, multiset, rake
+from skarn.llm import bisect, bpe, burst, multiset, packing, rake
 from skarn.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d)[0].where("keep_id <> rec_id").select("keep_id", F.col("rec_id").alias("paper_id"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    sizes = bpe.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
