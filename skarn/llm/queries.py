@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import bisect, bpe, burst, cosjoin, multiset, packing, rake
+from skarn.llm import bisect, bpe, burst, cosjoin, multiset, packing, rake, truncation
 from skarn.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,28 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", 2048)
 
 
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return truncation.readings(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.storage_limits(_readings(spark, d)).select("source", "encoding", "length", "texts")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and cut texts of every source; the share is of all its rows, null and blank texts included."""
+    cut = truncation.judged(_readings(spark, d)).groupBy("source").agg(F.count_if("cut").alias("cut_texts"))
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
+    return rows.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "texts", F.coalesce("cut_texts", F.lit(0)).alias("cut_texts"), F.round(F.coalesce("cut_texts", F.lit(0)) / F.col("texts"), 6).alias("share")
+    )
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(_readings(spark, d)).where("cut").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
