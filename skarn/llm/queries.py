@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import bisect, bpe, burst, cosjoin, multiset, packing, rake, truncation
+from skarn.llm import bisect, bpe, burst, cosjoin, graph, multiset, packing, rake, truncation
 from skarn.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).where("mark IS NOT NULL").select("dataset", F.col("term").alias("label"), "mark")
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return graph.similar_vectors(table(spark, d, "rag_db"), "rag_id", "embedding", 64, 10)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p2_neighbours(spark, d).where("cosine >= 0.9")
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     sample, _ = rake.proportional_sample(table(spark, d, "syn_sentence_list"), table(spark, d, "label_targets"), "syn_id", "augmented_sentence", "labels")
     return sample.select(F.col("row_id").alias("syn_id"), "category", F.col("text").alias("augmented_sentence"), "weight")
