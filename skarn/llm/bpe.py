@@ -91,8 +91,8 @@ class PairIndexBPE:
             order = np.argsort(ranks, kind="stable")
             at, ranks = at[order], ranks[order]
             firsts = np.flatnonzero(np.diff(ranks, prepend=-1))
-            for r, part in zip(ranks[firsts].tolist(), np.split(at, firsts[1:]), strict=True):
-                where[r] = part.tolist()
+            for r, a, b in zip(ranks[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=False):
+                where[r] = at[a:b].tolist()
         heap = list(where)
         heapq.heapify(heap)
         get = rank.get
