@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 import numpy as np
@@ -84,19 +83,24 @@ def rake(available: Mapping[tuple, int], margins: list[Mapping], rounds: int = 1
 
 
 def quotas(available: Mapping[tuple, int], weights: Mapping[tuple, float], size: int, minimum: Mapping[str, int]) -> dict[tuple, int]:
-    """Whole rows per cell: largest remainders of ``size * weight``, never more than there are, category minimums repaired.
+    """Whole rows per cell in proportion to the weights, never more than there are, category minimums repaired.
 
     The first value of a cell is its category. A category short of its minimum takes what its cells still have;
     as many rows are taken back from the categories furthest above their own minimum, so the size stays the same where it can.
     """
     cells = sorted(weights, key=str)
-    raw = {c: size * weights[c] for c in cells}
-    q = {c: min(int(math.floor(raw[c])), available[c]) for c in cells}
-    for c in sorted(cells, key=lambda c: (-(raw[c] - math.floor(raw[c])), str(c))):
-        if sum(q.values()) >= size:
-            break
-        if q[c] < available[c]:
-            q[c] += 1
+    q = dict.fromkeys(cells, 0)
+    left = size
+    while left > 0 and (open_ := [c for c in cells if q[c] < available[c] and weights[c] > 0]):
+        # What full cells can't take goes to the others by their weights, the last rows by largest remainders.
+        total = sum(weights[c] for c in open_)
+        share = {c: left * weights[c] / total for c in open_}
+        add = {c: min(int(share[c]), available[c] - q[c]) for c in open_}
+        if not any(add.values()):
+            add = dict.fromkeys(sorted(open_, key=lambda c: (-share[c], str(c)))[:left], 1)
+        for c, n in add.items():
+            q[c] += n
+            left -= n
     by_cat: dict[str, list[tuple]] = {}
     for c in cells:
         by_cat.setdefault(c[0], []).append(c)
