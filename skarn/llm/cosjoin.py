@@ -6,8 +6,9 @@ sequences that differ by at most ``k = n // 10`` words (n: the longer one's coun
 prefix of ``k + s`` terms the residual norm of a sentence is too small, even times the largest weight that an
 admissible partner's terms have, for a pair to reach the threshold with fewer than ``s`` shared terms inside the prefixes. The inverted lists are
 therefore keyed by s prefix terms at once (three for sentences below LONG words, one above), which keeps the lists short
-even where every rare word of a sentence belongs to a template. A pair is tested in the one list of its first s shared
-terms, then by its exact dot product, then by its word edits.
+even where every rare word of a sentence belongs to a template. Every list entry carries a 128-bit sketch, the parity of
+its terms' places: sequences within k edits differ in at most 2k terms, so in at most 2k bits. Each pair that meets in a list and is near enough by its sketch is tested once, by its
+exact dot product, then by its word edits.
 
 Equal word sequences are collapsed before the join, so copies never multiply candidates.
 """
@@ -21,7 +22,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ from skarn.runtime import checkpointed, need
 BUCKETS = 1 << 18
 #: Words from which a sentence is listed under single prefix terms.
 LONG = 70
+#: Shorter sequences have no partner but equal ones (9 words may lack one of 10).
+SHORTEST = 10
 
 
 def words(sentence: Column) -> Column:
@@ -66,65 +68,90 @@ def within_edits(a: list[str], b: list[str], k: int) -> bool:
     return row.get(len(b), far) <= k
 
 
-def terms(seq: list[str]) -> list[int]:
-    """Signed 64-bit hashes of (word, earlier occurrences)."""
-    seen: Counter[str] = Counter()
-    out = []
-    for w in seq:
-        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seen[w])
-        seen[w] += 1
-        out.append(h - (1 << 64) if h >= 1 << 63 else h)
-    return out
+def word_hashes(seq: Column) -> Column:
+    """A 64-bit hash of every word."""
+    return F.transform(seq, lambda w: F.xxhash64(w))
+
+
+def _mixed(h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    """Hashes stirred with a salt (the finalizer of a public 64-bit mixer)."""
+    x = h ^ (np.asarray(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _terms(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and words of the row for all (word, earlier occurrence) terms of a batch, grouped by row."""
+    h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    return row, _mixed(h, np.arange(len(h)) - first), size
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        for seq in b.column(0).to_pylist():
-            np.add.at(total, np.array(terms(seq), np.int64) & (BUCKETS - 1), 1)
+        _, t, _ = _terms(b.column(0))
+        total += np.bincount((t & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
 
+def _keys(lists: pa.Array, ids: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Key, id, words and both halves of the sketch of every list that the rows of a batch stand in (rows have words)."""
+    row, t, size = _terms(lists)
+    if not len(size):
+        return [np.empty(0, np.int64)] * 5
+    begin = np.cumsum(size) - size
+    place = (t >> np.uint64(40)) & np.uint64(127)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    sketch = [np.bitwise_xor.reduceat(np.where((place < 64) == low, bit, np.uint64(0)), begin).view(np.int64) for low in (True, False)]
+    order = np.lexsort((t, count[(t & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
+    t = t[order]
+    start = np.cumsum(size) - size
+    k = size // 10
+    out: list[list[np.ndarray]] = []
+    # The longest partner has n / 0.9 words; from LONG words on pairs meet in the single-term lists.
+    for s, fits in ((3, size < LONG), (1, size + size // 9 + 1 >= LONG)):
+        for kk in np.unique(k[fits & (k > 0)]):
+            rows = np.flatnonzero(fits & (k == kk))
+            p = t[start[rows][:, None] + np.arange(kk + s)]
+            combos = np.array(list(combinations(range(kk + s), s)))
+            keys = np.full((len(rows), len(combos)), s, np.uint64)
+            for c in range(s):
+                keys = _mixed(keys ^ p[:, combos[:, c]], 1)
+            out.append([keys.ravel().view(np.int64), *(np.repeat(c[rows], keys.shape[1]) for c in (ids, size, *sketch))])
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
+
+
 def prefix_lists(classes: DataFrame, freq: np.ndarray) -> DataFrame:
-    """``key, class_id, n, prefix``: a row per list that a word sequence of 10 or more words stands in."""
+    """``key, class_id, n, s0, s1``: a row per list that a word sequence of SHORTEST or more words stands in."""
     sent = classes.sparkSession.sparkContext.broadcast(freq)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = sent.value
         for b in batches:
-            ids, ns, prefixes, keys = [], [], [], []
-            for cid, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = len(seq)
-                k = n // 10
-                if not k:
-                    continue
-                order = sorted(terms(seq), key=lambda t: (count[t & (BUCKETS - 1)], t))
-                # The longest partner has n / 0.9 words; from LONG words on pairs meet in the single-term lists.
-                for s in ((3,) if n < LONG else ()) + ((1,) if n + n // 9 + 1 >= LONG else ()):
-                    p = order[: k + s]
-                    for key in combinations(p, s):
-                        ids.append(cid)
-                        ns.append(n)
-                        prefixes.append(p)
-                        keys.append(list(key))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["subset", "class_id", "n", "prefix"])
-
-    return classes.select("class_id", "words").mapInArrow(lists, "subset array<bigint>, class_id bigint, n int, prefix array<bigint>").withColumn("key", F.xxhash64("subset"))
+            cols = _keys(b.column(1), b.column(0).to_numpy(), sent.value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds, strict=True)], names=["key", "class_id", "n", "s0", "s1"])
+
+    return classes.where(F.size("words") >= SHORTEST).select("class_id", word_hashes(F.col("words"))).mapInArrow(lists, "key bigint, class_id bigint, n int, s0 bigint, s1 bigint")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs ``l_id, r_id`` of classes whose lists meet, each once, of admissible lengths."""
-    a = left.select("key", F.col("class_id").alias("l_id"), F.col("n").alias("l_n"), F.col("prefix").alias("l_p"), F.size("subset").alias("s"))
-    b = right.select("key", F.col("class_id").alias("r_id"), F.col("n").alias("r_n"), F.col("prefix").alias("r_p"), F.size("subset").alias("r_s"))
-    n = F.greatest("l_n", "r_n")
-    shared = F.array_intersect("l_p", "r_p")
-    return a.join(b, "key").where(
-        (F.col("s") == F.col("r_s"))
-        & (F.least("l_n", "r_n") >= n - F.floor(n / 10))
-        & (F.col("s") == F.when(n >= LONG, 1).otherwise(3))
-        & (F.xxhash64(F.slice(shared, 1, F.col("s"))) == F.col("key"))
-    ).select("l_id", "r_id")
+    """Different pairs ``l_id, r_id`` of classes that meet in a list, of admissible lengths and sketches."""
+    a = left.select("key", *[F.col(c).alias(f"l_{c}") for c in ("class_id", "n", "s0", "s1")])
+    b = right.select("key", *[F.col(c).alias(f"r_{c}") for c in ("class_id", "n", "s0", "s1")])
+    n, m = F.greatest("l_n", "r_n"), F.least("l_n", "r_n")
+    k = F.floor(n / 10)
+    apart = F.bit_count(F.col("l_s0").bitwiseXOR(F.col("r_s0"))) + F.bit_count(F.col("l_s1").bitwiseXOR(F.col("r_s1")))
+    met = a.join(b, "key").where((m >= n - k) & (apart <= 2 * k - (n - m)))
+    return met.select(F.col("l_class_id").alias("l_id"), F.col("r_class_id").alias("r_id")).distinct()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +185,8 @@ def split_overlaps(left: DataFrame, right: DataFrame, id_col: str, sentence: str
         rows = df.select(F.col(id_col).cast("bigint").alias("row_id"), words(F.col(sentence)).alias("words")).where(F.size("words") > 0)
         sides.append((rows, checkpointed(_classes(rows))))
     (l_rows, l_cls), (r_rows, r_cls) = sides
-    table = l_cls.select("words").unionByName(r_cls.select("words")).mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    hashed = l_cls.unionByName(r_cls).select(word_hashes(F.col("words")))
+    table = hashed.mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     freq = np.zeros(BUCKETS, np.int64)
     freq[table["bucket"].to_numpy()] = table["n"].to_numpy()
     cand = candidates(prefix_lists(l_cls, freq), prefix_lists(r_cls, freq))
