@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 #: Words from which a sentence is listed under single prefix terms.
 LONG = 70
 #: Shorter sequences have no partner but equal ones (9 words may lack one of 10).
-SHORTEST = 10
+SHORTEST = 9
 
 
 def words(sentence: Column) -> Column:
@@ -119,7 +119,7 @@ def _keys(lists: pa.Array, ids: np.ndarray, count: np.ndarray) -> list[np.ndarra
     out: list[list[np.ndarray]] = []
     # The longest partner has n / 0.9 words; from LONG words on pairs meet in the single-term lists.
     for s, fits in ((3, size < LONG), (1, size + size // 9 + 1 >= LONG)):
-        for kk in np.unique(k[fits & (k > 0)]):
+        for kk in np.unique(k[fits]):
             rows = np.flatnonzero(fits & (k == kk))
             p = t[start[rows][:, None] + np.arange(kk + s)]
             combos = np.array(list(combinations(range(kk + s), s)))
