@@ -1,0 +1,33 @@
+import duckdb
+import pytest
+
+from skarn.llm.queries import oracle_sql, queries
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("tram_train", "bosch_train", "syn_sentence_list", "label_targets"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    df = queries()[name](spark, D)
+    rel = c.execute(oracle_sql()[name])
+    cols = [x[0] for x in rel.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r) for r in rel.fetchall()))) == sorted(str(tuple(r)) for r in df.select(*cols).collect())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+def test_runs(spark, name):
+    df = queries()[name](spark, D)
+    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_columns_of_the_found_queries(spark):
+    want = {
+        "p1_found": [("dataset", "string"), ("label", "string"), ("mark", "string")], "p2_found": [("id_a", "bigint"), ("id_b", "bigint")], "p3_found": [("category", "string")],
+        "p4_found": [("id_a", "bigint"), ("id_b", "bigint")], "p5_found": [("rag_id", "bigint"), ("cut", "string")], "p6_found": [("keep_id", "bigint"), ("paper_id", "bigint")], "p9_found": [("doc_id", "bigint")],
+    }
+    for k, v in want.items():
+        assert queries()[k](spark, D).dtypes == v
