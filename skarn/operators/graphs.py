@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +58,14 @@ def distances(edges: DataFrame, src: str, dst: str, start: DataFrame) -> DataFra
     return seen
 
 
+@lru_cache(maxsize=200_000)
+def _ratio(a: str, b: str) -> float:
+    return 1.0 if a == b else indel_ratio(a, b)
+
+
 def set_similarity(a: list[str], b: list[str]) -> float:
     """The best ratio between two sets of strings; 0 if one is empty."""
-    return max((indel_ratio(x, y) for x, y in product(a, b)), default=0.0)
+    return max((_ratio(x, y) for x, y in product(a, b)), default=0.0)
 
 
 def node_similarity(a: dict, b: dict) -> float:
@@ -146,17 +153,23 @@ def prune(templates: DataFrame, at_most: int = 2) -> DataFrame:
     return t.withColumn("norm", F.aggregate("nodes", F.lit(0), lambda s, n: s + n["count"]))
 
 
-def align(graph: tuple[list[dict], list[tuple[int, int]]], template: tuple[list[dict], list[tuple[int, int, int]], int], at_least: float = 0.7, most: int = 10_000) -> float:
+def align(graph: tuple[list[dict], list[tuple[int, int]]], template: tuple[list[dict], list[tuple[int, int, int]], int], at_least: float = 0.7, most: int = 10_000, sims: list[np.ndarray] | None = None) -> float:
     """Score of a graph against a template: aligned nodes and edges, weighted by their counts; actors don't count.
 
-    At most ``most`` combinations of candidates are tried; the best one counts.
+    ``sims`` may give the similarities of every graph node (outer) to every template node (inner).
+
+    Only template nodes that are similar to some node of the graph can add to the score. Where their candidates have at most ``most``
+    combinations all are tried; else the best candidates are improved one node at a time until none gains.
     """
     g_nodes, g_edges = graph
     t_nodes, t_edges, norm = template
-    cand = []
-    for t in t_nodes:
-        own = [(i, s) for i, n in enumerate(g_nodes) if t["type"] != "actor" and (s := node_similarity(t, n)) >= at_least]
-        cand.append(sorted(own, key=lambda x: (-x[1], x[0])) or [(None, 0.0)])
+    if not g_nodes or not t_nodes:
+        return 0.0
+    s = np.array(sims if sims is not None else [[node_similarity(t, n) for t in t_nodes] for n in g_nodes])
+    fits = (s >= at_least) & np.array([t["type"] != "actor" for t in t_nodes])
+    cand = {a: sorted(((i, float(s[i, a])) for i in np.flatnonzero(fits[:, a]).tolist()), key=lambda x: (-x[1], x[0])) for a in np.flatnonzero(fits.any(axis=0)).tolist()}
+    if not cand:
+        return 0.0
     near: dict[tuple[int, int], int] = {}
     kids: dict[int, list[int]] = {}
     for a, b in g_edges:
@@ -167,18 +180,42 @@ def align(graph: tuple[list[dict], list[tuple[int, int]]], template: tuple[list[
             d += 1
             level = [x for y in level for x in kids.get(y, ()) if not (x in seen or seen.add(x))]
             near.update({(a, x): d for x in level})
-    best = 0.0
-    for n, combo in enumerate(product(*cand)):
-        if n >= most:
-            break
-        node = sum(t["count"] * s for t, (i, s) in zip(t_nodes, combo, strict=True) if i is not None)
-        edge = 0.0
-        for a, b, c in t_edges:
-            (i, s), (j, u) = combo[a], combo[b]
-            if i is not None and j is not None and (i, j) in near:
-                edge += c * math.sqrt(s * u) / near[i, j]
-        best = max(best, (node + edge) / (norm + 1))
-    return best
+    edges = [(a, b, c) for a, b, c in t_edges if c and a in cand and b in cand]
+    touched: dict[int, list[tuple[int, int, int]]] = {}
+    for e in edges:
+        touched.setdefault(e[0], []).append(e)
+        if e[1] != e[0]:
+            touched.setdefault(e[1], []).append(e)
+
+    def edge_score(pick: dict[int, tuple[int, float]], some: list[tuple[int, int, int]]) -> float:
+        total = 0.0
+        for a, b, c in some:
+            (i, s), (j, u) = pick[a], pick[b]
+            if (i, j) in near:
+                total += c * math.sqrt(s * u) / near[i, j]
+        return total
+
+    def score(pick: dict[int, tuple[int, float]]) -> float:
+        return sum(t_nodes[a]["count"] * s for a, (_, s) in pick.items()) + edge_score(pick, edges)
+
+    # A node without edges in play takes its best candidate.
+    open_ = [a for a in cand if a in touched and len(cand[a]) > 1]
+    pick = {a: c[0] for a, c in cand.items()}
+    if math.prod(len(cand[a]) for a in open_) <= most:
+        best = max(score(pick | dict(zip(open_, combo, strict=True))) for combo in product(*(cand[a] for a in open_)))
+    else:
+        gained = True
+        while gained:
+            gained = False
+            for a in open_:
+                def local(x: tuple[int, float], a: int = a) -> float:
+                    return t_nodes[a]["count"] * x[1] + edge_score(pick | {a: x}, touched[a])
+
+                top = max(cand[a], key=local)
+                if local(top) > local(pick[a]) + 1e-12:
+                    pick[a], gained = top, True
+        best = score(pick)
+    return best / (norm + 1)
 
 
 def align_all(graphs: DataFrame, templates: list[tuple[str, tuple]], id_col: str, keep: float = 0.9) -> DataFrame:
@@ -187,11 +224,22 @@ def align_all(graphs: DataFrame, templates: list[tuple[str, tuple]], id_col: str
     kind = dict(graphs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, list[np.ndarray]] = {}  # equal nodes recur: their similarities to all templates are kept
+
+        def against_all(n: dict) -> list[np.ndarray]:
+            key = (n["type"], tuple(n["nlp"]), tuple(n["ioc"]))
+            if key not in known:
+                if len(known) > 20_000:
+                    known.clear()
+                known[key] = [np.array([node_similarity(t, n) for t in nodes]) for _, (nodes, _, _) in sent.value]
+            return known[key]
+
         for pdf in batches:
             rows = []
             for i, nodes, edges in zip(pdf[id_col], pdf["nodes"], pdf["edges"], strict=True):
                 g = ([dict(n) for n in nodes], [tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in edges])
-                rows += [(i, name, round(s, 6)) for name, t in sent.value if (s := align(g, t)) >= keep]
+                every = [against_all(n) for n in g[0]]
+                rows += [(i, name, round(s, 6)) for k, (name, t) in enumerate(sent.value) if (s := align(g, t, sims=[x[k] for x in every])) >= keep]
             yield pd.DataFrame(rows, columns=[id_col, "technique", "score"])
 
     return graphs.select(id_col, "nodes", "edges").mapInPandas(run, f"`{id_col}` {kind}, technique string, score double")
