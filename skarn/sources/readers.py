@@ -42,7 +42,7 @@ def sniff(t: Column) -> Column:
 
 def binary_reports(spark: SparkSession, path: str, default: str | None = None) -> DataFrame:
     """Files of any kind with their kind by content; unknown kinds take ``default`` or raise."""
-    df = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.decode("content", F.lit("ISO-8859-1")).alias("head"))
+    df = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.decode("content", "ISO-8859-1").alias("head"))
     kind = sniff(F.col("head"))
     bad = F.lit(default) if default else F.raise_error(F.concat(F.lit("no reader for "), F.col("file")))
     return df.select("file", "content", F.when(kind.isin("pdf", "html", "unicode", "ascii"), kind).otherwise(bad).alias("kind"))
