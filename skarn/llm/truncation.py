@@ -25,7 +25,7 @@ from skarn.runtime import checkpointed, need
 #: A form is common if this share of all texts, and at least LEAST of them, have it.
 SHARE, LEAST = 0.0005, 3
 #: A length is a limit if at least this many texts of its source have it, and this many times as many as the lengths around it.
-SPIKE, STEEP, AROUND = 6, 12.0, 40
+SPIKE, STEEP, AROUND, LOWEST = 6, 12.0, 40, 100
 #: Ways to count a length, in the order of ``lengths``.
 ENCODINGS = ("chars", "utf8", "utf16", "html", "html_utf8", "json", "json_ascii", "crlf", "crlf_utf8")
 
@@ -106,6 +106,9 @@ def ending(t: str) -> tuple[str, str | None]:
     if SENTENCE_END.search(tail):
         if s.endswith("}") and s.count("{") > s.count("}"):
             return "open", None
+        token = last.rsplit(None, 1)[-1][:-1]
+        if s[-1] == "." and ("://" in token or "\\" in token or token.startswith("/")) and (form := name_form(token)) is not None:
+            return "name", form  # a period inside a path or host, or after a whole one
         return "whole", None
     if last.startswith("|"):
         rows = [x.strip() for x in s.split("\n")[-3:]]
@@ -186,15 +189,17 @@ def readings(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 def storage_limits(read: DataFrame) -> DataFrame:
     """``source, encoding, length, texts``: the lengths at which a source's texts pile up.
 
-    Of the encodings that show the same pile, each source and length keeps the one with most texts at it.
+    Each source keeps the encoding that shows its largest pile. Lengths below LOWEST are no limits: short texts recur.
     """
     each = read.where("doc_id IS NOT NULL AND kind <> 'blank'").select("source", F.posexplode("lens").alias("e", "length")).groupBy("source", "e", "length").agg(F.count(F.lit(1)).alias("texts"))
     by = W.partitionBy("source", "e").orderBy("length")
     near = F.sum("texts").over(by.rangeBetween(-AROUND, AROUND)) - F.sum("texts").over(by.rangeBetween(-2, 2))
-    piles = each.withColumn("near", near).where((F.col("texts") >= SPIKE) & (F.col("texts") > STEEP * (F.col("near") + 1) / (2 * AROUND - 4)))
-    best = F.row_number().over(W.partitionBy("source", "length").orderBy(F.desc("texts"), "e"))
+    piles = each.withColumn("near", near).where((F.col("length") >= LOWEST) & (F.col("texts") >= SPIKE) & (F.col("texts") > STEEP * (F.col("near") + 1) / (2 * AROUND - 4)))
+    # A limit shows in several encodings of the same texts; the one with the largest pile is the one it was set in.
+    best = piles.groupBy(F.col("source").alias("b_source")).agg(F.max_by("e", F.struct("texts", -F.col("e"))).alias("b_e"))
     names = F.array(*[F.lit(x) for x in ENCODINGS])
-    return piles.withColumn("_r", best).where("_r = 1").select("source", F.get(names, F.col("e")).alias("encoding"), "e", "length", "texts")
+    met = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("e") == F.col("b_e"))
+    return piles.join(best, met).select("source", F.get(names, F.col("e")).alias("encoding"), "e", "length", "texts")
 
 
 def judged(read: DataFrame) -> DataFrame:
@@ -202,14 +207,16 @@ def judged(read: DataFrame) -> DataFrame:
 
     Blank texts are never cut. Forms are looked up in the counts of the whole corpus; limits in the exposed ones.
     """
-    docs = read.where("doc_id IS NOT NULL")
-    total = docs.agg(F.greatest(F.lit(LEAST), F.ceil(F.count(F.lit(1)) * F.lit(SHARE))).alias("common"))
+    # Most endings need no look-up; only the others are joined, so that they don't meet as null keys in one task.
+    plain = read.where("doc_id IS NOT NULL AND form IS NULL AND kind <> 'value'").select("doc_id", "source", "kind", F.lit(False).alias("at_limit"), F.col("kind").isin("open", "broken").alias("cut"))
+    docs = read.where("doc_id IS NOT NULL AND (form IS NOT NULL OR kind = 'value')")
+    total = read.where("doc_id IS NOT NULL").agg(F.greatest(F.lit(LEAST), F.ceil(F.count(F.lit(1)) * F.lit(SHARE))).alias("common"))
     forms = read.where("doc_id IS NULL").groupBy("form").agg(F.sum("n").alias("seen"))
     words = forms.where(F.col("form").startswith("word ")).select(F.concat(F.lit("tag "), F.substring("form", 6, 1 << 20)).alias("form"), F.col("seen").alias("as_word"))
     asked = docs.where("form IS NOT NULL").select("form").distinct()
     known = asked.join(forms, "form", "left").join(words, "form", "left").select("form", (F.coalesce("seen", F.lit(0)) + F.coalesce("as_word", F.lit(0))).alias("seen"))
     # Only endings that could be either need to know whether their text sits at a limit.
-    unsure = docs.where(F.col("kind").isin("value", "key", "tag")).select("doc_id", F.col("source").alias("d_source"), F.posexplode("lens").alias("d_e", "d_length"))
+    unsure = docs.where(F.col("kind").isin("value", "key")).select("doc_id", F.col("source").alias("d_source"), F.posexplode("lens").alias("d_e", "d_length"))
     limits = storage_limits(read).select("source", "e", "length")
     met = F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_e") == F.col("e")) & (F.col("d_length") == F.col("length"))
     at = unsure.join(limits, met, "left_semi").select("doc_id").distinct().withColumn("at_limit", F.lit(True))
@@ -217,10 +224,8 @@ def judged(read: DataFrame) -> DataFrame:
     common = F.coalesce("seen", F.lit(0)) >= F.col("common")
     hit = F.coalesce("at_limit", F.lit(False))
     cut = (
-        F.when(F.col("kind").isin("blank", "whole"), False)
-        .when(F.col("kind").isin("open", "broken"), True)
-        .when(F.col("kind") == "value", hit)
-        .when(F.col("kind").isin("key", "tag"), ~common | hit)
+        F.when(F.col("kind") == "value", hit)
+        .when(F.col("kind") == "key", ~common | hit)
         .otherwise(~common)
     )
-    return out.select("doc_id", "source", "kind", hit.alias("at_limit"), cut.alias("cut"))
+    return plain.unionByName(out.select("doc_id", "source", "kind", hit.alias("at_limit"), cut.alias("cut")))

@@ -10,7 +10,7 @@ from skarn.llm import truncation as tr
         ("ends in the mid", "open"), ("a comma,", "open"), ("over &quo", "broken"), ('see <a href="htt', "broken"), ("bad �", "broken"), ("at 203.0.113.", "open"), ("\n203.0.1", "open"),
         ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"), ("| a | b |\n|---|---|\n| 1 | 2", "open"), ("| a | b |\n|---|---|\n| 1 |", "open"), ("| a | b |\n|---|---|", "open"),
         ("SHA-256: " + "a1" * 32, "whole"), ("- " + "a1" * 20, "whole"), ("- " + "a1" * 19, "open"), ("x\n203.0.113.9", "value"), ("x\n-- A desk", "line"), ("Tags: a, b, c", "tag"),
-        ("Refs\n[1] https://a.example/x.html", "name"), ("k\nHKCU\\Run7", "key"), ("so it was...", "ellipsis"), ("so it w [...]", "ellipsis"), ("cut…", "ellipsis"), ("", "blank"), (" \t\n", "blank"),
+        ("Refs\n[1] https://a.example/x.html", "name"), ("k\nHKCU\\Run7", "key"), ("at http://abc.", "name"), ("at c:\\x\\y.dll.", "name"), ("and/or.", "whole"), ("so it was...", "ellipsis"), ("so it w [...]", "ellipsis"), ("cut…", "ellipsis"), ("", "blank"), (" \t\n", "blank"),
     ],
 )
 def test_endings(text, kind):
