@@ -38,7 +38,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, _MARK, False):
         return
     root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="skarn-")) / "skarn_pkg.zip"
+    out = Path(sc._temp_dir) / "skarn_pkg.zip"  # the driver's own folder; Spark serves the file to the executors
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("skarn") / p.relative_to(root))
