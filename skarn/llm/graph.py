@@ -24,6 +24,8 @@ from skarn.runtime import checkpointed, need
 
 #: Rows of the sample that the centres are fitted on.
 SAMPLE = 20_000
+#: Rows per centre while the square root of the rows asks for more centres than that.
+PER_CENTRE = 2000
 #: Most centres, and most nodes of one graph.
 MAX_CENTRES, MAX_SHARD = 4096, 60_000
 #: Out-edges per node, slots before a node is pruned again, and the factor of the relaxed distance test.
@@ -333,7 +335,7 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
     if not len(sample):
         return df.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
     sample = _unit(sample).astype(np.float32)
-    count = int(min(MAX_CENTRES, max(1, round(n**0.5 / 5)), len(sample)))
+    count = int(min(MAX_CENTRES, max(1, round(min(n / PER_CENTRE, n**0.5 / 5))), len(sample)))
     centres = fit_centres(sample, count)
     copies = min(2, len(centres))
     # The share of the sample says in how many parts a shard is split; the split changes cost, not results.
