@@ -127,7 +127,7 @@ def nearest_concept(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "embeddings").where("embedding IS NOT NULL")
     first = F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 2)
     small = t.groupBy("label").agg(F.min("vec_id").alias("a")).join(t.select("label", "vec_id"), "label").where("vec_id > a").groupBy("label").agg(F.first("a").alias("a"), F.min("vec_id").alias("b"))
-    heads = t.join(F.broadcast(small.select(F.explode(F.array("a", "b")).alias("vec_id"))), "vec_id")
+    heads = t.join(broadcast_if_small(small.select(F.explode(F.array("a", "b")).alias("vec_id")), 20_000), "vec_id")
     con = heads.groupBy(F.col("label").alias("concept")).agg(first.alias("f")).where(F.size("f") == 2)
     con = con.select("concept", F.col("f")[0]["embedding"].alias("c1"), F.col("f")[1]["embedding"].alias("c2"))
     con = con.withColumns({"n1": ve.norm(F.col("c1")), "n2": ve.norm(F.col("c2"))})
