@@ -33,9 +33,6 @@ def concept_kinds(spark: SparkSession, d: str) -> DataFrame:
     return n.select("label", lb.concept_kind(F.col("label")).alias("kind"), "n")
 
 
-_T = "SELECT sent_id, string_split(sentence, ' ') AS t FROM {} WHERE sentence IS NOT NULL"
-
-
 @query(
     sql="SELECT a.sent_id AS a, b.sent_id AS b, string_split(a.sentence, ' ') = string_split(b.sentence, ' ') AS same_tokens FROM tram_train a JOIN tram_train b ON lower(a.sentence) = lower(b.sentence) AND a.sent_id < b.sent_id AND a.doc_title = b.doc_title"
 )

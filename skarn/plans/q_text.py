@@ -10,12 +10,14 @@ from skarn.functions import text as tx
 from skarn.plans.registry import query
 from skarn.runtime import table
 
-#: The same replacements as in the column expressions, for the other engine.
+
 def _sq(s: str) -> str:
+    """A text as an SQL literal."""
     return "'" + s.replace("'", "''") + "'"
 
 
 def _chain(col: str, pairs) -> str:
+    """The same replacements as in the column expressions, for the other engine."""
     for a, b in pairs:
         col = f"regexp_replace({col}, {_sq(a)}, {_sq(b)}, 'g')"
     return col

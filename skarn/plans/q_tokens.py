@@ -190,9 +190,6 @@ def phrase_match_punct(spark: SparkSession, d: str) -> DataFrame:
     return dic.match_phrases(t, "sent_id", "l", _dict(spark, d)).groupBy("sent_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LABELS = "SELECT DISTINCT upper(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS value FROM (SELECT unnest(labels) AS x FROM bosch_train) WHERE x IS NOT NULL"
-
-
 @query(
     sql=f"SELECT sent_id, i::INT AS i, token, kind AS pattern FROM (SELECT sent_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS i FROM ({SENT})) JOIN (SELECT split_part(lower(concept_name), ' ', 1) AS value, min({_CONCEPT}) AS kind FROM rag_db WHERE concept_name IS NOT NULL AND technique_id IS NOT NULL GROUP BY 1) ON token = value"
 )
