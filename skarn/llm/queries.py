@@ -177,8 +177,14 @@ WHERE coalesce(available, 0) < greatest(min_rows::DOUBLE, target_share * 0.05::D
 """
 
 
+#: RE2 repeats at most 1,000 times.
+_RUN = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+_P5 = f"SELECT rag_id, CASE WHEN regexp_matches(text, '{_RUN}{{1000}}{_RUN}{{201}}') THEN 'forced' ELSE 'natural' END AS cut FROM rag_db WHERE length(text) > 1200"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _P5,
         "p1_terms": _P1,
         "p1_found": f"SELECT dataset, term AS label, mark FROM ({_P1}) WHERE mark IS NOT NULL",
         "p3_found": _P3,

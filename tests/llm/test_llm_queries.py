@@ -9,7 +9,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("tram_train", "bosch_train", "syn_sentence_list", "label_targets"):
+    for t in ("tram_train", "bosch_train", "syn_sentence_list", "label_targets", "rag_db"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = queries()[name](spark, D)
     rel = c.execute(oracle_sql()[name])
