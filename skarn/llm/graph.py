@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from skarn.runtime import checkpointed, need
 
-#: Rows of the sample that the centres are fitted on.
+#: Different vectors in the sample that the centres are fitted on.
 SAMPLE = 20_000
 #: Rows per centre while the square root of the rows asks for more centres than that.
 PER_CENTRE = 2000
@@ -41,11 +41,14 @@ BLOCK = 192
 #: Copies of one vector above which only one of them is routed; at most HOT_SHARE of all rows' classes can be that large.
 HOT, HOT_SHARE = 1000, 10_000
 SALTS = 32
+#: Centres with a cosine above this are one.
+SAME_CENTRE = 1 - 1e-5
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Unit centres of unit vectors by a few rounds of spherical k-means."""
+    """Unit centres of unit vectors by a few rounds of spherical k-means; of equal vectors one counts, and no two centres are (nearly) equal."""
     rng = np.random.default_rng(seed)
+    x = x[np.sort(np.unique(np.round(x, 6) + 0.0, axis=0, return_index=True)[1])]
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
         near = np.argmax(x @ c.T, axis=1)
@@ -53,7 +56,12 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nda
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1)
         c[size > 0] = total[size > 0] / size[size > 0, None]
-    return c
+    same = np.triu(c @ c.T > SAME_CENTRE, 1)
+    keep = np.ones(len(c), bool)
+    for i in range(len(c)):
+        if keep[i]:
+            keep &= ~same[i]
+    return c[keep]
 
 
 class ShardGraph:
@@ -319,28 +327,33 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
     keys = rows.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     n = rows.count()
     # At most HOT_SHARE classes can hold more than this many rows each.
-    hot = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where(F.col("c") > max(HOT, n // HOT_SHARE)).select("h1", "h2", "rep")
-    hot = checkpointed(hot)
+    most = max(HOT, n // HOT_SHARE)
+    classes = checkpointed(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")))
+    hot = checkpointed(classes.where(F.col("c") > most).select("h1", "h2", "rep"))
     hot_rows = keys.join(F.broadcast(hot), ["h1", "h2"]).select("id", "rep", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     least = hot_rows.withColumn("r", F.row_number().over(W.partitionBy("rep", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     least = least.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("more"))
     with_keys = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     sent = with_keys.join(F.broadcast(hot), ["h1", "h2"], "left").where("rep IS NULL OR rep = id").join(F.broadcast(least), "rep", "left").select("id", "vec", "more")
 
-    # Only about 1.5 * SAMPLE rows with small hashes are ordered, however many tasks read the table.
-    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    few = rows.select("vec", spread.alias("h")).where(F.col("h") <= int(min(1.0, 1.5 * SAMPLE / max(n, 1)) * (1 << 40)))
-    sample = _matrix(few.orderBy("h").limit(SAMPLE).select("vec").toArrow().column(0), dim) if n else np.empty((0, dim))
+    # The centres are fitted on different vectors: a class of copies counts once. Only about 1.5 * SAMPLE classes with small
+    # hashes are ordered, however many tasks read them.
+    n_classes, n_sent = classes.agg(F.count(F.lit(1)), F.sum(F.when(F.col("c") > most, 1).otherwise(F.col("c")))).first()
+    spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 40))
+    few = classes.select("rep", "c", spread.alias("h")).where(F.col("h") <= int(min(1.0, 1.5 * SAMPLE / max(n_classes, 1)) * (1 << 40)))
+    few = checkpointed(few.orderBy("h").limit(SAMPLE))
+    drawn = rows.join(F.broadcast(few), F.col("id") == F.col("rep")).orderBy("h").select("vec", F.when(F.col("c") > most, 1).otherwise(F.col("c")).alias("c")).toArrow()
+    sample, weight = (_matrix(drawn.column(0), dim), drawn.column(1).to_numpy()) if n else (np.empty((0, dim)), np.empty(0))
     schema = "id bigint, near array<struct<sim: double, neighbour: bigint>>"
     if not len(sample):
         return df.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
     sample = _unit(sample).astype(np.float32)
-    count = int(min(MAX_CENTRES, max(1, round(min(n / PER_CENTRE, n**0.5 / 5))), len(sample)))
+    count = int(min(MAX_CENTRES, max(1, round(min(n_sent / PER_CENTRE, n_sent**0.5 / 5))), len(sample)))
     centres = fit_centres(sample, count)
     copies = min(2, len(centres))
-    # The share of the sample says in how many parts a shard is split; the split changes cost, not results.
+    # The sample's share of the rows sent says in how many parts a shard is split; the split changes cost, not results.
     near = np.argpartition(-(sample @ centres.T), copies - 1, axis=1)[:, :copies]
-    parts = np.maximum(1, np.ceil(np.bincount(near.ravel(), minlength=len(centres)) / len(sample) * n / MAX_SHARD)).astype(np.int64)
+    parts = np.maximum(1, np.ceil(np.bincount(near.ravel(), np.repeat(weight, copies), minlength=len(centres)) / weight.sum() * n_sent / MAX_SHARD)).astype(np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

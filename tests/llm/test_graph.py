@@ -84,3 +84,32 @@ def test_recall_on_the_table(spark):
     want = brute(t["rag_id"].tolist(), np.stack(t["embedding"].tolist()), 10)
     assert set(got) == set(want)
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.9
+
+
+def test_centres_of_a_hot_third_differ():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[:1000] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = graph.fit_centres(x, 75)
+    s = c @ c.T
+    np.fill_diagonal(s, -1)
+    assert len(c) > 60 and s.max() < 0.9999
+
+
+def test_recall_around_a_hot_third_with_many_centres(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(graph, "HOT", 200)
+    monkeypatch.setattr(graph, "PER_CENTRE", 60)
+    monkeypatch.setattr(graph, "SAMPLE", 2500)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0]
+    x[1000:1030] = x[0] + rng.normal(size=(30, 16)) * 0.2 * np.linalg.norm(x[0]) / 4
+    ids = [int(i) for i in rng.permutation(3000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id bigint, v array<double>")
+    got = found(graph.similar_vectors(df, "id", "v", 16, 10))
+    want = brute(ids, x, 10)
+    assert all(got[i] == want[i] for i in ids[:1000])
+    # a variant's nearest row is a copy of the hot vector, or another variant
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in ids[1000:1030]]) > 0.9
