@@ -6,7 +6,8 @@ points, a relaxed distance test keeps edges of diverse directions, reverse edges
 runs for every vector in each shard it is in, all vectors of a block in step, so that every step is a few array operations. The
 candidates are scored again in double precision and the shards' lists merged.
 
-Equal vectors are searched once and their rows put back afterwards. A shard with more members than MAX_SHARD is split at
+Vectors of one direction are searched once and their rows put back afterwards. Where candidates tie with the last place, the part
+is scanned by id, so that ties are exact however many there are. A shard with more members than MAX_SHARD is split at
 random into parts; each of its vectors is a node of one part and is searched for in every part.
 """
 
@@ -43,6 +44,10 @@ HOT, HOT_SHARE = 1000, 10_000
 SALTS = 32
 #: Centres with a cosine above this are one.
 SAME_CENTRE = 1 - 1e-5
+#: Unit vectors that agree in so many steps per unit are one direction; cosines closer than NEAR may round alike.
+STEPS, NEAR = 1e10, 1e-6
+#: Candidates kept beyond k, nodes scanned at first for ties (four times as many each time), and similarities per scan.
+SPARE, SCAN, SCANNED = 4, 2048, 1 << 22
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -141,7 +146,10 @@ class ShardGraph:
         return _pad(np.where(score > -np.inf, pool, -1), -1), _pad(score, -np.inf)
 
     def _prune(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
-        """At most DEGREE of each row's candidates: near first, none that a kept one is RELAX times closer to."""
+        """At most DEGREE of each row's candidates: near first, none that a kept one is RELAX times closer to.
+
+        Up to half of them may be nodes at distance 0, which would else exclude each other.
+        """
         order = np.argsort(-sims, axis=1)
         row = np.arange(len(ids))[:, None]
         ids, sims = ids[row, order], sims[row, order]
@@ -158,7 +166,8 @@ class ShardGraph:
             if not ok.any():
                 break
             out[ok, k] = ids[r, j][ok]
-            open_ &= ~((RELAX * RELAX) * between[r, j] <= far)
+            shut = (RELAX * RELAX) * between[r, j] <= far
+            open_ &= ~(shut & (far > 2 * NEAR) if k < DEGREE // 2 - 1 else shut)
             open_[r, j] = False
         return out
 
@@ -268,11 +277,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _direction(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole steps: equal for vectors of one direction, whatever their length."""
+    return np.rint(_unit(x) * STEPS).astype(np.int64)
+
+
+def _hashes(q: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes per row of whole numbers."""
+    odd = np.random.default_rng(11).integers(0, 1 << 63, (q.shape[1], 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = np.stack([(q.view(np.uint64) * odd[:, i]).sum(1, dtype=np.uint64) for i in range(2)], 1)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _tied(q: np.ndarray, base: np.ndarray, by_id: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
+    """For every row of q the first k + 1 nodes in the order ``by_id`` whose rounded cosine is at least its level; -1 where there are fewer."""
+    out = np.full((len(q), k + 1), -1, np.int64)
+    have = np.zeros(len(q), np.int64)
+    todo, a, step = np.arange(len(q)), 0, SCAN
+    while len(todo) and a < len(by_id):
+        part = by_id[a : a + step]
+        rows = max(1, SCANNED // len(part))
+        for i in range(0, len(todo), rows):
+            t = todo[i : i + rows]
+            r, c = np.nonzero(np.round(q[t] @ base[part].T, 6) >= level[t, None])
+            nth = np.arange(len(r)) - np.searchsorted(r, np.arange(len(t)))[r] + have[t][r]
+            fits = nth <= k
+            out[t[r[fits]], nth[fits]] = part[c[fits]]
+            have[t] += np.bincount(r, minlength=len(t))
+        todo = todo[have[todo] <= k]
+        a, step = a + step, step * 4
+    return out
+
+
 def _lists(ids: np.ndarray, more: list, vec: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every row of a part: the ids and rounded cosines of its k + 1 nearest in it, itself and its copies among them."""
-    kinds, inverse = np.unique(np.ascontiguousarray(vec).view(np.dtype((np.void, vec.dtype.itemsize * vec.shape[1]))).ravel(), return_inverse=True)
+    steps = np.ascontiguousarray(_direction(vec))
+    kinds, inverse = np.unique(steps.view(np.dtype((np.void, steps.dtype.itemsize * steps.shape[1]))).ravel(), return_inverse=True)
+    # The row with the smallest id stands for its direction, in every shard the same.
     first = np.zeros(len(kinds), np.int64)
-    first[inverse] = np.arange(len(vec))
+    last_first = np.argsort(ids)[::-1]
+    first[inverse[last_first]] = last_first
     is_node = np.zeros(len(kinds), bool)
     is_node[inverse[node]] = True
     place = np.cumsum(is_node) - 1  # of a kind among the nodes
@@ -292,26 +336,42 @@ def _lists(ids: np.ndarray, more: list, vec: np.ndarray, node: np.ndarray, k: in
     width = int(min(k, nth.max(initial=0))) + 1
     members = np.full((n, width), -1, np.int64)
     members[owner[nth < width], nth[nth < width]] = mid[nth < width]
-    near = np.full((len(kinds), k + 4), -1, np.int64)
+    by_id = np.argsort(members[:, 0], kind="stable")
+    near = np.full((len(kinds), k + SPARE), -1, np.int64)
     if n:
         g = ShardGraph(base.astype(np.float32))
-        near[is_node] = g.neighbours(k + 4)
+        near[is_node] = g.neighbours(k + SPARE)
         if not is_node.all():
-            near[~is_node] = g.nearest(unit[~is_node].astype(np.float32), k + 4)
+            near[~is_node] = g.nearest(unit[~is_node].astype(np.float32), k + SPARE)
     out_ids = np.full((len(kinds), k + 1), -1, np.int64)
     out_sims = np.full((len(kinds), k + 1), -np.inf)
-    for a in range(0, len(kinds), 1024):
-        b = np.arange(a, min(a + 1024, len(kinds)))
-        cand = np.concatenate([near[b], np.where(is_node[b], place[b], -1)[:, None]], 1)
-        sims = np.round(np.einsum("bcd,bd->bc", base[np.maximum(cand, 0)], unit[b]), 6) if n else np.zeros(cand.shape)
+
+    def rank(b: np.ndarray, cand: np.ndarray) -> np.ndarray:
+        """Fill the lists of the kinds b from candidate nodes (a node counts once); the unrounded cosines."""
+        exact = np.einsum("bcd,bd->bc", base[np.maximum(cand, 0)], unit[b]) if n else np.zeros(cand.shape)
         own = members[np.maximum(cand, 0)] if n else np.full((*cand.shape, width), -1)
         own = np.where((cand >= 0)[:, :, None], own, -1).reshape(len(b), -1)
-        sims = np.where(own >= 0, np.repeat(sims, width, axis=1), -np.inf)
+        sims = np.where(own >= 0, np.repeat(np.round(exact, 6), width, axis=1), -np.inf)
         row = np.arange(len(b))[:, None]
         order = np.argsort(own, axis=1, kind="stable")
         order = order[row, np.argsort(-sims[row, order], axis=1, kind="stable")][:, : k + 1]
         w = order.shape[1]
         out_ids[b, :w], out_sims[b, :w] = own[row, order], sims[row, order]
+        return exact
+
+    for a in range(0, len(kinds), 1024):
+        b = np.arange(a, min(a + 1024, len(kinds)))
+        cand = np.concatenate([near[b], np.where(is_node[b], place[b], -1)[:, None]], 1)
+        exact = rank(b, cand)
+        # More nodes than those kept may tie with the last place.
+        least = np.where((near[b] >= 0).all(1), exact[:, :-1].min(1), -np.inf)
+        wide = np.flatnonzero((least > -np.inf) & (least >= out_sims[b, k] - NEAR))
+        if len(wide):
+            more_nodes = _tied(unit[b[wide]], base, by_id, out_sims[b[wide], k], k)
+            both = np.sort(np.concatenate([cand[wide], more_nodes], 1), axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            for i in range(0, len(wide), 1024):
+                rank(b[wide[i : i + 1024]], both[i : i + 1024])
     return out_ids[inverse], out_sims[inverse], out_ids[inverse] >= 0
 
 
@@ -320,12 +380,19 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
 
     Cosines are rounded to 6 decimals; equal ones rank by the smaller id. Null, short, all-zero vectors and ones with null, NaN
     or infinite numbers take no part. Ids must be different integers. A table of fewer than k + 1 usable rows gives
-    shorter lists, an empty one no rows. The search is approximate (recall is measured in the tests); copies of a vector are exact.
+    shorter lists, an empty one no rows. The search is approximate (recall is measured in the tests); copies of a vector,
+    scaled ones too, and ties with the last place are exact.
     """
     need(df, id_col, vector)
     rows = df.where(usable(F.col(vector), dim)).select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("vec"))
-    keys = rows.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
-    n = rows.count()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = _hashes(_direction(_matrix(b.column(1), dim)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "h1", "h2"])
+
+    keys = checkpointed(rows.mapInArrow(hashed, "id bigint, h1 bigint, h2 bigint"))
+    n = keys.count()
     # At most HOT_SHARE classes can hold more than this many rows each.
     most = max(HOT, n // HOT_SHARE)
     classes = checkpointed(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")))
@@ -333,8 +400,10 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
     hot_rows = keys.join(F.broadcast(hot), ["h1", "h2"]).select("id", "rep", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     least = hot_rows.withColumn("r", F.row_number().over(W.partitionBy("rep", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     least = least.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("more"))
-    with_keys = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
-    sent = with_keys.join(F.broadcast(hot), ["h1", "h2"], "left").where("rep IS NULL OR rep = id").join(F.broadcast(least), "rep", "left").select("id", "vec", "more")
+    # At most HOT_SHARE rows: every class of copies that only one row is routed of, by its first hash, with its smallest ids.
+    known = hot.join(least, "rep").select("h1", "h2", "rep", "more").orderBy("h1").collect()
+    hot_h1, hot_h2, hot_rep = (np.array([r[i] for r in known], np.int64) for i in range(3))
+    hot_more = [r["more"] for r in known]
 
     # The centres are fitted on different vectors: a class of copies counts once. Only about 1.5 * SAMPLE classes with small
     # hashes are ordered, however many tasks read them.
@@ -357,8 +426,18 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _unit(_matrix(b.column(1), dim)).astype(np.float32)
+            q = _direction(_matrix(b.column(1), dim))
             ids = b.column(0).to_numpy()
+            lists = [None] * len(ids)
+            if len(hot_h1):
+                h = _hashes(q)
+                at = np.minimum(np.searchsorted(hot_h1, h[:, 0]), len(hot_h1) - 1)
+                is_hot = (hot_h1[at] == h[:, 0]) & (hot_h2[at] == h[:, 1])
+                stay = np.flatnonzero(~is_hot | (hot_rep[at] == ids))
+                lists = [hot_more[at[i]] if is_hot[i] else None for i in stay]
+                b, q, ids = b.take(pa.array(stay)), q[stay], ids[stay]
+            more = pa.array(lists, pa.list_(pa.int64()))
+            x = (q / STEPS).astype(np.float32)
             to = np.argpartition(-(x @ centres.T), copies - 1, axis=1)[:, :copies].astype(np.int32).ravel()
             src = np.repeat(np.arange(len(ids)), copies)
             times = parts[to]
@@ -366,7 +445,7 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
             part = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
             home = (ids[src[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % times[at]
             take = pa.array(src[at])
-            yield pa.RecordBatch.from_arrays([pa.array(to[at]), pa.array(part), pa.array(home == part), *(b.column(i).take(take) for i in range(3))], names=["shard", "part", "node", "id", "vec", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(to[at]), pa.array(part), pa.array(home == part), *(c.take(take) for c in (b.column(0), b.column(1), more))], names=["shard", "part", "node", "id", "vec", "more"])
 
     def search(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
@@ -375,7 +454,7 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
         items = pa.StructArray.from_arrays([pa.array(sims[ok]), pa.array(got[ok])], names=["sim", "neighbour"])
         return pa.table({"id": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), items)})
 
-    routed = sent.mapInArrow(route, "shard int, part int, node boolean, id bigint, vec array<double>, more array<bigint>").repartition(int(parts.sum()), "shard", "part")
+    routed = rows.mapInArrow(route, "shard int, part int, node boolean, id bigint, vec array<double>, more array<bigint>").repartition(int(parts.sum()), "shard", "part")
     found = routed.groupBy("shard", "part").applyInArrow(search, schema)
     merged = found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.array_distinct(F.transform("near", lambda x: F.struct((-x["sim"]).alias("neg"), x["neighbour"].alias("neighbour"))))), 1, k + 1)

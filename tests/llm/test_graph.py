@@ -113,3 +113,30 @@ def test_recall_around_a_hot_third_with_many_centres(spark, monkeypatch):
     assert all(got[i] == want[i] for i in ids[:1000])
     # a variant's nearest row is a copy of the hot vector, or another variant
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in ids[1000:1030]]) > 0.9
+
+
+def test_many_lengths_of_one_direction_rank_by_id(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(graph, "HOT", 50)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 6))
+    x[:100] = x[0] * rng.uniform(0.1, 9, size=(100, 1))
+    x[100:140] = x[100] * rng.uniform(0.1, 9, size=(40, 1))
+    ids = [int(i) for i in rng.permutation(300)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id bigint, v array<double>")
+    got, want = found(graph.similar_vectors(df, "id", "v", 6, 10)), brute(ids, x, 10)
+    assert all(got[i] == want[i] for i in ids[:140])
+
+
+def test_ties_beyond_the_kept_candidates_are_exact():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    for a in range(0, 600, 100):  # near copies, whose cosines round to 1
+        x[a : a + 100] = x[a] + rng.normal(size=(100, 8)) * 1e-5
+    x[600:630] = x[600] + rng.normal(size=(30, 8)) * 1e-5
+    ids = rng.permutation(3000).astype(np.int64)
+    got, _, ok = graph._lists(ids, [None] * 3000, x, np.ones(3000, bool), 10)
+    want = brute(ids.tolist(), x, 10)
+    assert ok.all()
+    for i in range(630):
+        assert [j for j in got[i] if j != ids[i]][:10] == want[ids[i]]
