@@ -6,6 +6,7 @@ length that far more texts have than the lengths around it. Then each ending is
 end of a sentence, a closed table row or block), some are broken by their form (half an entity, a lone replacement
 character), and the rest is judged by what the whole corpus does: a signature, a list item, a file name or a
 closing phrase that many texts end with is whole, one that hardly any other text has is a fragment.
+Copies of a text are one witness, and no text is a witness of its own ending.
 An ending that could be either counts as cut where the text sits exactly at a limit of its source.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from skarn.runtime import checkpointed, need
 
-#: A form is common if this share of all texts, and at least LEAST of them, have it.
+#: A form is common for a text if this share of all different texts, and at least LEAST of them, have it besides that text.
 SHARE, LEAST = 0.0005, 3
 #: A length is a limit if at least this many texts of its source have it, and this many times as many as the lengths around it.
 SPIKE, STEEP, AROUND, LOWEST = 6, 12.0, 40, 100
@@ -134,34 +135,38 @@ def ending(t: str) -> tuple[str, str | None]:
     return "open", None
 
 
-def evidence(t: str, end: str | None, seen: Counter) -> None:
-    """Count, once per text, the forms that other texts' endings are compared with; ``end`` is its own."""
+def evidence(t: str, end: str | None) -> tuple[set[str], bool]:
+    """The forms of a text that other texts' endings are compared with, and whether it has its own, ``end``, only at its end."""
     s = t.rstrip()
     own = {f"name {DIGITS.sub('#', x)}" for x in set(INNER.findall(t))}
     own.update(f"word {w}" for w in {x.lower() for x in set(WORD_END.findall(t))})
-    if end is not None:
-        own.add(end)
     for line in s.split("\n")[:-1]:
         if (form := line_form(line)) is not None:
             own.add(f"line {form}")
-    seen.update(own)
+    only = end is not None and end not in own
+    if only:
+        own.add(end)
+    return own, only
 
 
-_SCHEMA = "doc_id bigint, source string, kind string, form string, lens array<int>, n bigint"
+#: ``n``: of a form, the different texts that have it; of a text, how many of them are the text itself by its ending alone.
+#: ``first``, ``in_source``: the text is the first of its copies, in all and in its source.
+_SCHEMA = "doc_id bigint, source string, kind string, form string, lens array<int>, n bigint, first boolean, in_source boolean"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
+    names = ["doc_id", "source", "kind", "form", "lens", "n", "first", "in_source"]
 
     def forms() -> pa.RecordBatch:
         k = list(seen)
         void = [None] * len(k)
-        return pa.RecordBatch.from_arrays([pa.array(void, pa.int64()), pa.array(void, pa.string()), pa.array(void, pa.string()), pa.array(k, pa.string()), pa.array(void, pa.list_(pa.int32())), pa.array([seen[x] for x in k], pa.int64())], names=["doc_id", "source", "kind", "form", "lens", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(void, pa.int64()), pa.array(void, pa.string()), pa.array(void, pa.string()), pa.array(k, pa.string()), pa.array(void, pa.list_(pa.int32())), pa.array([seen[x] for x in k], pa.int64()), pa.array(void, pa.bool_()), pa.array(void, pa.bool_())], names=names)
 
     for b in batches:
         ids, sources, texts = b.column(0), b.column(1), b.column(2).to_pylist()
-        kinds, keys, lens = [], [], []
-        for t in texts:
+        kinds, keys, lens, selves = [], [], [], []
+        for t, first in zip(texts, b.column(3).to_pylist(), strict=True):
             kind, key = ending(t)
             if kind in ("name", "key"):
                 key = f"name {key}"
@@ -170,9 +175,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds.append(kind)
             keys.append(key)
             lens.append(lengths(t))
-            if kind != "blank":
-                evidence(t, key, seen)
-        yield pa.RecordBatch.from_arrays([ids, sources, pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(lens, pa.list_(pa.int32())), pa.array([1] * len(texts), pa.int64())], names=["doc_id", "source", "kind", "form", "lens", "n"])
+            alone = False
+            if kind != "blank" and (first or key is not None):
+                own, alone = evidence(t, key)
+                if first:
+                    seen.update(own)
+            selves.append(int(alone))
+        yield pa.RecordBatch.from_arrays([ids, sources, pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(lens, pa.list_(pa.int32())), pa.array(selves, pa.int64()), b.column(3), b.column(4)], names=names)
         if len(seen) > 200_000:
             yield forms()
             seen.clear()
@@ -183,15 +192,20 @@ def readings(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     """One row per text (``doc_id, source, kind, form, lens``) and pre-aggregated rows of forms (``form, n``, no id); written once."""
     need(df, id_col, text, source)
     rows = df.select(F.col(id_col).cast("bigint"), F.col(source).cast("string"), F.col(text)).where(F.col(text).isNotNull())
-    return checkpointed(rows.mapInArrow(_read, _SCHEMA))
+    rows = rows.toDF("doc_id", "source", "text")
+    # Copies are found by 128 bits; only ids are grouped, and the flags come back by id, so that a text with many copies isn't one task's.
+    each = rows.groupBy("source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min("doc_id").alias("id"))
+    flags = each.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.collect_list("id").alias("ids")).select("least", F.explode("ids").alias("id")).select("id", (F.col("id") == F.col("least")).alias("f"))
+    marked = rows.join(flags, F.col("doc_id") == F.col("id"), "left").select("doc_id", "source", "text", F.coalesce("f", F.lit(False)).alias("first"), F.col("f").isNotNull().alias("in_source"))
+    return checkpointed(marked.mapInArrow(_read, _SCHEMA))
 
 
-def storage_limits(read: DataFrame) -> DataFrame:
-    """``source, encoding, length, texts``: the lengths at which a source's texts pile up.
+def storage_limits(read: DataFrame, different: bool = False) -> DataFrame:
+    """``source, encoding, length, texts``: the lengths at which a source's texts pile up; copies count once if ``different``.
 
     Each source keeps the encoding that shows its largest pile. Lengths below LOWEST are no limits: short texts recur.
     """
-    each = read.where("doc_id IS NOT NULL AND kind <> 'blank'").select("source", F.posexplode("lens").alias("e", "length")).groupBy("source", "e", "length").agg(F.count(F.lit(1)).alias("texts"))
+    each = read.where("doc_id IS NOT NULL AND kind <> 'blank'").where(F.col("in_source") | F.lit(not different)).select("source", F.posexplode("lens").alias("e", "length")).groupBy("source", "e", "length").agg(F.count(F.lit(1)).alias("texts"))
     by = W.partitionBy("source", "e").orderBy("length")
     near = F.sum("texts").over(by.rangeBetween(-AROUND, AROUND)) - F.sum("texts").over(by.rangeBetween(-2, 2))
     piles = each.withColumn("near", near).where((F.col("length") >= LOWEST) & (F.col("texts") >= SPIKE) & (F.col("texts") > STEEP * (F.col("near") + 1) / (2 * AROUND - 4)))
@@ -210,22 +224,18 @@ def judged(read: DataFrame) -> DataFrame:
     # Most endings need no look-up; only the others are joined, so that they don't meet as null keys in one task.
     plain = read.where("doc_id IS NOT NULL AND form IS NULL AND kind <> 'value'").select("doc_id", "source", "kind", F.lit(False).alias("at_limit"), F.col("kind").isin("open", "broken").alias("cut"))
     docs = read.where("doc_id IS NOT NULL AND (form IS NOT NULL OR kind = 'value')")
-    total = read.where("doc_id IS NOT NULL").agg(F.greatest(F.lit(LEAST), F.ceil(F.count(F.lit(1)) * F.lit(SHARE))).alias("common"))
+    total = read.where("doc_id IS NOT NULL AND first").agg(F.greatest(F.lit(LEAST), F.ceil(F.count(F.lit(1)) * F.lit(SHARE))).alias("common"))
     forms = read.where("doc_id IS NULL").groupBy("form").agg(F.sum("n").alias("seen"))
     words = forms.where(F.col("form").startswith("word ")).select(F.concat(F.lit("tag "), F.substring("form", 6, 1 << 20)).alias("form"), F.col("seen").alias("as_word"))
     asked = docs.where("form IS NOT NULL").select("form").distinct()
     known = asked.join(forms, "form", "left").join(words, "form", "left").select("form", (F.coalesce("seen", F.lit(0)) + F.coalesce("as_word", F.lit(0))).alias("seen"))
-    # Only endings that could be either need to know whether their text sits at a limit.
-    unsure = docs.where(F.col("kind").isin("value", "key")).select("doc_id", F.col("source").alias("d_source"), F.posexplode("lens").alias("d_e", "d_length"))
-    limits = storage_limits(read).select("source", "e", "length")
+    # Only endings that could be either need to know whether their text sits at a limit; copies of a whole text make none.
+    unsure = docs.select("doc_id", F.col("source").alias("d_source"), F.posexplode("lens").alias("d_e", "d_length"))
+    limits = storage_limits(read, different=True).select("source", "e", "length")
     met = F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_e") == F.col("e")) & (F.col("d_length") == F.col("length"))
     at = unsure.join(limits, met, "left_semi").select("doc_id").distinct().withColumn("at_limit", F.lit(True))
     out = docs.join(known, "form", "left").join(at, "doc_id", "left").crossJoin(F.broadcast(total))
-    common = F.coalesce("seen", F.lit(0)) >= F.col("common")
+    common = F.coalesce("seen", F.lit(0)) - F.col("n") >= F.col("common")
     hit = F.coalesce("at_limit", F.lit(False))
-    cut = (
-        F.when(F.col("kind") == "value", hit)
-        .when(F.col("kind") == "key", ~common | hit)
-        .otherwise(~common)
-    )
+    cut = F.when(F.col("kind") == "value", hit).otherwise(~common | hit)
     return plain.unionByName(out.select("doc_id", "source", "kind", hit.alias("at_limit"), cut.alias("cut")))

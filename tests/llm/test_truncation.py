@@ -71,3 +71,26 @@ def test_empty_and_long(spark):
     for t in ("/" * 200_000, "a" * 300_000, "<" * 100_000, "1." * 100_000, "{" * 100_000):
         tr.ending(t)
         tr.lengths(t)
+
+
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    body = "The group copied files at the port authorities. "
+    rows = [(i, body * (5 + i), "s1") for i in range(30)]
+    rows += [(100 + i, body * 3 + "\nSee\nhttps://a.example/downl", f"s{i % 2}") for i in range(10)]
+    rows += [(200 + i, body * (3 + i) + "\n-- Alpha research desk", "s2") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    read = tr.readings(df, "doc_id", "text", "source")
+    assert {r["doc_id"] for r in tr.judged(read).where("cut").collect()} == set(range(100, 110))
+    assert tr.storage_limits(read, different=True).count() == 0
+
+
+def test_a_limit_decides_for_common_endings(spark):
+    body = "The group copied files at the port authorities. "
+    end = "\n-- Alpha research desk"
+    rows = [(i, f"{i:03d} " + "x" * (473 - len(body)) + " " + body + end, "limited") for i in range(20)]
+    rows += [(100 + i, body * (3 + i) + end, "s2") for i in range(20)]
+    size = len(rows[0][1])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    read = tr.readings(df, "doc_id", "text", "source")
+    assert ("limited", size) in {(r["source"], r["length"]) for r in tr.storage_limits(read).collect()}
+    assert {r["doc_id"] for r in tr.judged(read).where("cut").collect()} == set(range(20))
