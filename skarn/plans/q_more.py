@@ -83,6 +83,7 @@ def min_subtrees(spark: SparkSession, d: str) -> DataFrame:
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Skip-gram word vectors trained on the sentences (small: 16 numbers, words that occur five times)."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     model = Word2Vec(vectorSize=16, minCount=5, seed=1, inputCol="l", outputCol="v", maxIter=1, numPartitions=4).fit(qt.sents(spark, d).where(F.size("l") > 0).select("l"))
-    return model.getVectors().select("word")
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

@@ -55,3 +55,9 @@ def test_entry():
 
     assert set(core.SQL) <= set(e.oracle_sql()) and set(core.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_word_vectors_are_returned(spark):
+    got = {r["word"]: r["vector"] for r in core.QUERIES["word_vectors"](spark, "/root/testdata/sf0.001").collect()}
+    assert got
+    assert all(len(v) == 16 and all(map(math.isfinite, v)) and any(v) for v in got.values())
