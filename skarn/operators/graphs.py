@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import count, product
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skarn.operators.strings import indel_ratio
 from skarn.runtime import checkpointed
 
-#: Most rounds of an iterative operator; both converge in about the logarithm (components) or the length (paths) of the longest path.
+#: Most rounds of ``components``, which converges in about the logarithm of the longest path.
 ROUNDS = 200
 
 
@@ -50,7 +50,7 @@ def distances(edges: DataFrame, src: str, dst: str, start: DataFrame) -> DataFra
     e = checkpointed(e.union(e.select(F.col("v"), F.col("u"))).distinct())
     seen = checkpointed(start.select(F.col(start.columns[0]).alias("node"), F.lit(0).alias("hops")).distinct())
     front = seen
-    for hop in range(1, ROUNDS):
+    for hop in count(1):  # ends: a front holds only nodes not seen before
         front = checkpointed(front.join(e, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break

@@ -193,3 +193,12 @@ def test_span_scores(spark):
     p = spark.createDataFrame([(1, 0, 2, "A"), (1, 0, 2, "C"), (1, 4, 5, "Z"), (1, 9, 10, "B")], "d int, start int, end int, label string")
     got = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in me.span_scores(t, p, "d").collect()}
     assert got == {"A": (1, 0, 0), "ATTACK": (1, 0, 0), "B": (0, 1, 1)}
+
+
+def test_distances_of_a_chain_longer_than_the_rounds(spark, monkeypatch):
+    from skarn.operators import graphs
+
+    monkeypatch.setattr(graphs, "ROUNDS", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "a int, b int")
+    got = graphs.distances(edges, "a", "b", spark.createDataFrame([(0,)], "n int"))
+    assert {r["node"]: r["hops"] for r in got.collect()} == {i: i for i in range(7)}
