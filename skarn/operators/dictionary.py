@@ -30,10 +30,17 @@ def compile_phrases(rows: DataFrame) -> DataFrame:
 
 
 def match_phrases(tokens: DataFrame, id_col: str, token_array: str, dictionary: DataFrame, longest: bool = False) -> DataFrame:
-    """``id_col, start, end, label`` of every phrase at every start; with ``longest`` only the longest per start."""
-    width = dictionary.agg(F.coalesce(F.max(F.size("phrase_tokens")), F.lit(1)).alias("w")).first()["w"]
-    at = tokens.select(id_col, F.col(token_array).alias("_t"), F.posexplode(token_array).alias("start", "first")).select(id_col, "start", "first", F.slice("_t", F.col("start") + 1, F.lit(width)).alias("_near"))
-    hit = at.join(broadcast_if_small(dictionary), "first").where(F.slice("_near", F.lit(1), F.size("phrase_tokens")) == F.col("phrase_tokens"))
+    """``id_col, start, end, label`` of every phrase at every start; with ``longest`` only the longest per start.
+
+    The dictionary is computed once, when the operator is called. What a token takes along is cut inside the row, so
+    the work is linear in the length of the text. Null token arrays and an empty dictionary give no rows.
+    """
+    known = broadcast_if_small(dictionary)
+    width = known.agg(F.coalesce(F.max(F.size("phrase_tokens")), F.lit(1)).alias("w")).first()["w"]
+    t = F.col(token_array)
+    starts = F.transform(t, lambda x, i: F.struct(i.alias("start"), x.alias("first"), F.slice(t, i + 1, F.lit(width)).alias("_near")))
+    at = tokens.where(F.size(t) > 0).select(id_col, F.inline(starts))
+    hit = at.join(known, "first").where(F.slice("_near", F.lit(1), F.size("phrase_tokens")) == F.col("phrase_tokens"))
     out = hit.select(id_col, "start", (F.col("start") + F.size("phrase_tokens")).alias("end"), "label")
     if longest:
         out = out.groupBy(id_col, "start").agg(F.max_by(F.struct("end", "label"), "end").alias("x")).select(id_col, "start", "x.end", "x.label")

@@ -87,7 +87,7 @@ def similarities(spark: SparkSession, d: str) -> DataFrame:
     con = t.groupBy(F.col("label").alias("concept")).agg(F.min_by("embedding", "vec_id").alias("c")).select("concept", "c", ve.norm(F.col("c")).alias("cn"))
     rows = t.select("vec_id", "label", "embedding", ve.norm(F.col("embedding")).alias("n"))
     sim = F.round(ve.cosine(F.col("embedding"), F.col("c"), F.col("n"), F.col("cn")), 6)
-    return rows.crossJoin(broadcast_if_small(con, 10_000)).select("vec_id", "label", "concept", sim.alias("sim"))
+    return rows.crossJoin(broadcast_if_small(con)).select("vec_id", "label", "concept", sim.alias("sim"))
 
 
 @query(sql=f"SELECT vec_id, concept, sim FROM ({_SIM}) WHERE sim > 0.2")
@@ -127,13 +127,13 @@ def nearest_concept(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "embeddings").where("embedding IS NOT NULL")
     first = F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 2)
     small = t.groupBy("label").agg(F.min("vec_id").alias("a")).join(t.select("label", "vec_id"), "label").where("vec_id > a").groupBy("label").agg(F.first("a").alias("a"), F.min("vec_id").alias("b"))
-    heads = t.join(broadcast_if_small(small.select(F.explode(F.array("a", "b")).alias("vec_id")), 20_000), "vec_id")
+    heads = t.join(broadcast_if_small(small.select(F.explode(F.array("a", "b")).alias("vec_id"))), "vec_id")
     con = heads.groupBy(F.col("label").alias("concept")).agg(first.alias("f")).where(F.size("f") == 2)
     con = con.select("concept", F.col("f")[0]["embedding"].alias("c1"), F.col("f")[1]["embedding"].alias("c2"))
     con = con.withColumns({"n1": ve.norm(F.col("c1")), "n2": ve.norm(F.col("c2"))})
     v, n = F.col("embedding"), F.col("n")
     dist = F.round(0.5 * (1 - ve.cosine(v, F.col("c1"), n, F.col("n1"))) + 0.5 * (1 - ve.cosine(v, F.col("c2"), n, F.col("n2"))), 6)
-    x = t.select("vec_id", "embedding", ve.norm(v).alias("n")).crossJoin(broadcast_if_small(con, 10_000)).select("vec_id", "concept", dist.alias("distance"))
+    x = t.select("vec_id", "embedding", ve.norm(v).alias("n")).crossJoin(broadcast_if_small(con)).select("vec_id", "concept", dist.alias("distance"))
     best = x.groupBy("vec_id").agg(F.min(F.struct("distance", "concept")).alias("b"))
     return best.where("b.distance < 0.6").select("vec_id", "b.concept", "b.distance")
 

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Attribute on the SparkContext that remembers that the package was shipped to its executors.
 _MARK = "_skarn_shipped"
@@ -49,11 +50,18 @@ def ship(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` into the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is read from the session; only where none is set (tests, local runs) one is made.
+    The folder is read from the session. Only a local session without one gets a folder of its own; a cluster
+    without one is an error, as a folder of one machine would lose the data with that machine.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skarn-cp-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="skarn-cp-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -69,8 +77,36 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; got {df.columns}")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (the planner then shuffles it)."""
-    from pyspark.sql import functions as F
+#: Most bytes (as text) of a side that is broadcast.
+SMALL_BYTES = 32_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df``, computed once and cut from its lineage, with a broadcast hint if its rows are at most ``max_bytes`` as text.
+
+    A larger side comes back without the hint: the planner then shuffles it.
+    """
+    kept = checkpointed(df)
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))).alias("n")).first()["n"] or 0
+    return F.broadcast(kept) if size <= max_bytes else kept
+
+
+#: Rows from which a group is hot at least, and most groups that are hot: the hot groups are a table of bounded size.
+HOT, HOT_GROUPS = 10_000, 10_000
+
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """The inner join of rows with one row per group, in which no group is one task.
+
+    ``size`` is the column of ``groups`` with the number of rows of the group, ``total`` the number of all rows. Groups of more
+    than ``HOT`` rows and more than ``1 / HOT_GROUPS`` of all rows are at most ``HOT_GROUPS``; those are broadcast and
+    their rows stay where they are. The other groups are hash-joined. ``rows`` and ``groups`` are read twice: give
+    written (checkpointed) ones. ``size`` isn't in the result.
+    """
+    most = max(HOT, total // HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col(size) > most).drop(size))
+    cold = groups.where(F.col(size) <= most).drop(size)
+    if total <= HOT:
+        return rows.join(cold.hint("shuffle_hash"), keys)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold.hint("shuffle_hash"), keys)
+    return rest.unionByName(rows.join(hot, keys))
