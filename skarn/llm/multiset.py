@@ -2,8 +2,10 @@
 
 Every normalized field-name and value pair is hashed with two independent 64-bit hashes, and the hashes of a record
 are summed modulo 2**64, so the order of pairs (the words of a list of authors too) doesn't matter. Records are
-grouped by the 128-bit fingerprint. Equality of the fields is then verified within a fingerprint: once per different
-spelling, not per row, by counting words instead of sorting them.
+grouped by the 128-bit fingerprint. Equality of the fields is then verified without sorting anything: records with one
+spelling (another 128 bits, over the fields in their order) are equal, and of each further spelling in a group one record is
+compared with the group's first record, by its title, its DOI and the counts of its authors' words. Only hashes and ids are
+shuffled; the texts of the compared records are fetched by id at the end.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.runtime import checkpointed, need
+from skarn.runtime import checkpointed, join_groups, need
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -48,63 +51,101 @@ def doi_letters(s: str | None) -> str:
     return "" if at < 0 else "".join(WORD.findall(t[at:]))
 
 
-def fingerprint(pairs: list[tuple[str, str]]) -> tuple[int, int]:
-    """The commutative hash of name and value pairs, as two signed 64-bit numbers."""
+def _signed(h: int) -> int:
+    return int(np.uint64(h & (1 << 64) - 1).astype(np.int64))
+
+
+def fingerprint(pairs: list[tuple[str, str]], seed: int = 0, bits: int = 64) -> tuple[int, int]:
+    """The commutative hash of name and value pairs, as two signed numbers of ``bits`` bits."""
     lo = hi = 0
     for name, value in pairs:
         b = f"{name}\x00{value}".encode("utf-8", "surrogatepass")
-        lo += xxhash.xxh3_64_intdigest(b, 11)
-        hi += xxhash.xxh3_64_intdigest(b, 29)
-    return int(np.uint64(lo & (1 << 64) - 1).astype(np.int64)), int(np.uint64(hi & (1 << 64) - 1).astype(np.int64))
+        lo += xxhash.xxh3_64_intdigest(b, 11 + seed)
+        hi += xxhash.xxh3_64_intdigest(b, 29 + seed)
+    cut = (1 << bits) - 1
+    return _signed(lo & cut), _signed(hi & cut)
+
+
+def spelling(title: str, words: list[str], doi: str) -> tuple[int, int]:
+    """A 128-bit hash of the normalized fields with the words in their order, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest("\x00".join([title, doi, *words]).encode("utf-8", "surrogatepass"))
+    return _signed(h), _signed(h >> 64)
+
 
+_KEYS = "rec_id bigint, fp_lo bigint, fp_hi bigint, s_lo bigint, s_hi bigint"
 
-def normalized_records(df: DataFrame, id_col: str, title: str, authors: str, doi: str) -> DataFrame:
-    """``rec_id, fp_lo, fp_hi, title_key, author_key, doi_key``; ``author_key`` keeps the words' order.
+
+def record_keys(rows: DataFrame, seed: int = 0, bits: int = 64) -> DataFrame:
+    """``rec_id, fp_lo, fp_hi, s_lo, s_hi`` (fingerprint and spelling) of rows ``rec_id, title, authors, doi``.
 
     Records whose title has no letter or digit are dropped: nothing says what they are.
     """
-    need(df, id_col, title, authors, doi)
 
-    def norm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, t, a, d in zip(pdf["i"], pdf["t"], pdf["a"], pdf["d"], strict=True):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, t, a, d in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if key := letters(t):
                     words, dk = author_words(a), doi_letters(d)
-                    lo, hi = fingerprint([("title", key), ("doi", dk), *(("author", w) for w in words)])
-                    rows.append((i, lo, hi, key, " ".join(words), dk))
-            yield pd.DataFrame(rows, columns=["rec_id", "fp_lo", "fp_hi", "title_key", "author_key", "doi_key"])
+                    out.append((i, *fingerprint([("title", key), ("doi", dk), *(("author", w) for w in words)], seed, bits), *spelling(key, words, dk)))
+            cols = np.array(out, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[:, c]) for c in range(5)], names=[x.split()[0] for x in _KEYS.split(", ")])
 
-    return df.select(F.col(id_col).cast("bigint").alias("i"), F.col(title).alias("t"), F.col(authors).alias("a"), F.col(doi).alias("d")).mapInPandas(
-        norm, "rec_id bigint, fp_lo bigint, fp_hi bigint, title_key string, author_key string, doi_key string"
-    )
+    return rows.mapInArrow(keys, _KEYS)
 
 
-def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unequal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ids of records whose fields aren't those of the first record of their group."""
     for pdf in batches:
-        yield pdf[[Counter(a.split()) == Counter(b.split()) for a, b in zip(pdf["author_key"], pdf["rep_author"], strict=True)]]
+        bad = [
+            i
+            for i, *x in pdf.itertuples(index=False)
+            if (letters(x[0]), doi_letters(x[2]), Counter(author_words(x[1]))) != (letters(x[3]), doi_letters(x[5]), Counter(author_words(x[4])))
+        ]
+        yield pd.DataFrame({"first_id": np.array(bad, np.int64)})
+
 
+def _fetch(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.hint("shuffle_hash"), rows["rec_id"] == ids["id"]).drop("rec_id")
 
-def collapse(df: DataFrame, id_col: str, title: str, authors: str, doi: str) -> tuple[DataFrame, DataFrame]:
+
+def collapse(df: DataFrame, id_col: str, title: str, authors: str, doi: str, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """``(members, records)`` of the equal records.
 
     ``members``: ``keep_id, rec_id``, one row per record with a usable title, ``keep_id`` the smallest id of its class.
-    ``records``: ``keep_id, copies``. Null fields equal only null (or empty) ones. Ids may be any integers; equal ids
-    of different rows count as copies. An empty table gives empty results.
+    ``records``: ``keep_id, copies``. Null fields equal only null (or empty) ones. Ids must be different integers; rows
+    without one are left out. An empty table gives empty results. ``bits`` shortens the fingerprints, for tests.
 
-    A class that holds a third of all rows is one row per spelling before anything is joined, and the join back
-    to its rows has one row per spelling on the other side, which adaptive execution replicates to the parts of a
-    skewed partition.
+    A class that holds a third of all rows is one row per fingerprint before it is joined with its rows
+    (``runtime.join_groups``). Records that share a fingerprint but not their fields (never seen with 64 bits) are taken
+    out of their group and grouped again under other hashes, until none is left.
     """
-    norm = checkpointed(normalized_records(df, id_col, title, authors, doi))
-    spelling = ["fp_lo", "fp_hi", "title_key", "author_key", "doi_key"]
-    spelt = norm.groupBy(*spelling).agg(F.min("rec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    rep = spelt.groupBy("fp_lo", "fp_hi").agg(F.min_by(F.struct("title_key", "author_key", "doi_key"), "first_id").alias("r"), F.min("first_id").alias("keep_id"))
-    checked = spelt.join(rep, ["fp_lo", "fp_hi"]).where("title_key = r.title_key AND doi_key = r.doi_key").select(*spelling, "first_id", "n", "keep_id", F.col("r.author_key").alias("rep_author"))
-    good = checkpointed(checked.mapInPandas(_same, checked.schema).drop("rep_author"))
-    # A fingerprint shared by different records (never seen) leaves spellings over: each is then its own class.
-    odd = spelt.join(good, spelling, "left_anti").select(*spelling, "first_id", "n", F.col("first_id").alias("keep_id"))
-    classes = good.unionByName(odd)
-    members = norm.join(classes.select(*spelling, "keep_id"), spelling).select("keep_id", "rec_id")
-    records = classes.groupBy("keep_id").agg(F.sum("n").alias("copies"))
-    return members, records
+    need(df, id_col, title, authors, doi)
+    rows = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(title).alias("title"), F.col(authors).alias("authors"), F.col(doi).alias("doi")).where("rec_id IS NOT NULL")
+    fp, members, seed = ["fp_lo", "fp_hi"], [], 0
+    keys = checkpointed(record_keys(rows, bits=bits))
+    while True:
+        total = keys.count()
+        mixed = (F.min("s_lo") != F.max("s_lo")) | (F.min("s_hi") != F.max("s_hi"))
+        groups = checkpointed(keys.groupBy(*fp).agg(F.min("rec_id").alias("keep_id"), F.count(F.lit(1)).alias("size"), mixed.alias("mixed")))
+        spelt = join_groups(keys, groups.where("mixed").drop("mixed"), fp, "size", total).groupBy("keep_id", "s_lo", "s_hi").agg(F.min("rec_id").alias("first_id"))
+        others = checkpointed(spelt.where("first_id <> keep_id"))
+        # The texts of one record per further spelling, and of the first records of their groups.
+        one = _fetch(rows, others.select(F.col("first_id").alias("id"), "keep_id")).withColumnRenamed("id", "first_id")
+        top = _fetch(rows, others.select(F.col("keep_id").alias("id")).distinct()).select(F.col("id").alias("keep_id"), *[F.col(c).alias(f"top_{c}") for c in ("title", "authors", "doi")])
+        both = one.join(top.hint("shuffle_hash"), "keep_id").select("first_id", "title", "authors", "doi", "top_title", "top_authors", "top_doi")
+        bad = checkpointed(others.join(both.mapInPandas(_unequal, "first_id bigint"), "first_id", "left_semi"))
+        placed = join_groups(keys, groups.drop("mixed"), fp, "size", total)
+        if bad.isEmpty():
+            members.append(placed.select("keep_id", "rec_id"))
+            break
+        apart = checkpointed(placed.join(bad.select("keep_id", "s_lo", "s_hi"), ["keep_id", "s_lo", "s_hi"], "left_semi").select("rec_id"))
+        members.append(placed.select("keep_id", "rec_id").join(apart, "rec_id", "left_anti"))
+        seed += 1
+        keys = checkpointed(record_keys(rows.join(apart, "rec_id", "left_semi"), seed, bits))
+    out = members[0]
+    for m in members[1:]:
+        # The smallest id of a group is its own in every round: what is taken out never holds it.
+        out = out.unionByName(m)
+    records = groups.select("keep_id", F.col("size").alias("copies")) if len(members) == 1 else out.groupBy("keep_id").agg(F.count(F.lit(1)).alias("copies"))
+    return out.select("keep_id", "rec_id"), records
