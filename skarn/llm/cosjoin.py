@@ -1,71 +1,73 @@
 """Same or near-same sentences across splits: a weighted cosine join verified by word edits.
 
-A sentence is a vector whose terms are (word, how many times it came before), each of weight ``1/sqrt(n)``. Two
-sequences that differ by at most ``k = n // 10`` words (n: the longer one's count) share n - k terms, so their cosine is at least
-``(n - k) / n``; that lower bound is the join's threshold. Terms are ordered from rare to frequent. Outside a
-prefix of ``k + s`` terms the residual norm of a sentence is too small, even times the largest weight that an
-admissible partner's terms have, for a pair to reach the threshold with fewer than ``s`` shared terms inside the prefixes. The inverted lists are
-therefore keyed by s prefix terms at once (three for sentences below LONG words, one above), which keeps the lists short
-even where every rare word of a sentence belongs to a template. Every list entry carries a 128-bit sketch, the parity of
-its terms' places: sequences within k edits differ in at most 2k terms, so in at most 2k bits. Each pair that meets in a list and is near enough by its sketch is tested once, by its
-exact dot product, then by its word edits.
-
-Equal word sequences are collapsed before the join, so copies never multiply candidates.
+A sentence is a vector whose terms are (word, how many times it came before), weighted by how rare they are in both splits:
+``u = log(1 + N / f)``, with f from a table of fixed size. Two sequences that differ by at most ``k = n // 10`` words
+(n: the longer one's count) lose at most k terms each, so their dot product is at least the squared norm of either less its
+k heaviest terms: that bound is the join's threshold, and it loses no pair. Terms that the other split doesn't have
+have a largest weight of 0 there: each of them is surely lost, so a sentence with more than k of them has no partner, and z of them leave
+``k - z`` of the others to lose. The others are ordered from heavy to light. Without a shared term among the heaviest
+``k - z + 1`` of them, the residual norm of a sentence is below the threshold; likewise, without s shared terms among the heaviest
+``k - z + s``. The inverted lists are therefore keyed by s such terms at once (three for sentences below LONG words, one
+above), which keeps the lists short even where every rare word of a sentence belongs to a template. Every
+list entry carries a 64-bit sketch, the parity of its terms' places: sequences within k edits differ in at most 2k
+terms, so in at most 2k bits. Each pair that meets in a list and is near enough by its sketch is tested once, by its exact
+dot product, then by its word edits.
+
+Equal word sequences are one class (by 128 bits) before the join, so copies never multiply candidates. Only hashes and ids
+are grouped; a sentence's text is shuffled once, by its id.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.runtime import checkpointed, need
+from skarn.runtime import checkpointed, join_groups, need
 
-#: Buckets of term frequencies: a table of fixed size, sent to every worker. They only order terms, so collisions cost nothing but time.
+#: Buckets of term frequencies: a table of fixed size, sent to every worker. Terms that share one only look more frequent.
 BUCKETS = 1 << 18
-#: Words from which a sentence is listed under single prefix terms.
+#: Words from which a sentence is listed under single terms.
 LONG = 70
 #: Shorter sequences have no partner but equal ones (9 words may lack one of 10).
 SHORTEST = 9
+#: Members of a class that one task joins with its links; larger classes are dealt to several.
+PART = 10_000
 
 
-def words(sentence: Column) -> Column:
-    """The longest runs of letters and digits, lower-cased, in order."""
-    return F.filter(F.split(F.lower(sentence), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def plain(sentence: Column) -> Column:
+    """The longest runs of letters and digits, lower-cased, in order, joined by single spaces."""
+    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
 def within_edits(a: list[str], b: list[str], k: int) -> bool:
-    """Whether two word lists differ by at most k inserted, dropped or replaced words (a band of the usual table)."""
-    if abs(len(a) - len(b)) > k:
+    """Whether two word lists differ by at most k inserted, dropped or replaced words (furthest points per diagonal)."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
         return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
-    if not a or not b:
-        return max(len(a), len(b)) <= k
-    far = k + 1
-    row = {y: y for y in range(min(k, len(b)) + 1)}
-    for x in range(1, len(a) + 1):
-        new: dict[int, int] = {}
-        for y in range(max(0, x - k), min(len(b), x + k) + 1):
-            if y == 0:
-                new[y] = x
-                continue
-            new[y] = min(row.get(y, far) + 1, new.get(y - 1, far) + 1, row.get(y - 1, far) + (a[x - 1] != b[y - 1]))
-        row = new
-        if min(row.values()) > k:
+
+    def slide(x: int, d: int) -> int:
+        while x < n and x + d < m and a[x] == b[x + d]:
+            x += 1
+        return x
+
+    far = {0: slide(0, 0)}
+    for e in range(k + 1):
+        if far.get(m - n, -1) >= n:
+            return True
+        if e == k:
             return False
-    return row.get(len(b), far) <= k
+        new = {}
+        for d in range(-e - 1, e + 2):
+            x = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
+            if x >= 0 and -n <= d <= m:
+                new[d] = slide(min(x, n, m - d), d)
+        far = new
+    return False
 
 
 def word_hashes(seq: Column) -> Column:
@@ -97,101 +99,157 @@ def _terms(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        _, t, _ = _terms(b.column(0))
-        total += np.bincount((t & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        total += np.bincount(_bucket(_terms(b.column(0))[1]), minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
 
-def _keys(lists: pa.Array, ids: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Key, id, words and both halves of the sketch of every list that the rows of a batch stand in (rows have words)."""
+def _bucket(t: np.ndarray) -> np.ndarray:
+    return (t & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """Occurrences of the terms of ``w`` by bucket, a table of BUCKETS numbers."""
+    hashed = texts.select(word_hashes(F.split("w", " "))).mapInArrow(_frequencies, "bucket bigint, n bigint")
+    got = hashed.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def _keys(lists: pa.Array, ids: np.ndarray, count: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+    """Key, id, words and sketch of every list that the rows of a batch stand in (rows have words).
+
+    ``count``: frequencies of both splits, which order the terms; ``other``: those of the other split.
+    """
     row, t, size = _terms(lists)
     if not len(size):
-        return [np.empty(0, np.int64)] * 5
+        return [np.empty(0, np.int64)] * 4
     begin = np.cumsum(size) - size
-    place = (t >> np.uint64(40)) & np.uint64(127)
-    bit = np.uint64(1) << (place & np.uint64(63))
-    sketch = [np.bitwise_xor.reduceat(np.where((place < 64) == low, bit, np.uint64(0)), begin).view(np.int64) for low in (True, False)]
-    order = np.lexsort((t, count[(t & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
+    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (t >> np.uint64(58)), begin).view(np.int64)
+    bucket = _bucket(t)
+    absent = other[bucket] == 0
+    order = np.lexsort((t, count[bucket], absent, row))
     t = t[order]
-    start = np.cumsum(size) - size
-    k = size // 10
+    lost = np.bincount(row[absent], minlength=len(size))
+    k = size // 10 - lost
     out: list[list[np.ndarray]] = []
     # The longest partner has n / 0.9 words; from LONG words on pairs meet in the single-term lists.
     for s, fits in ((3, size < LONG), (1, size + size // 9 + 1 >= LONG)):
-        for kk in np.unique(k[fits]):
+        for kk in np.unique(k[fits & (k >= 0)]):
             rows = np.flatnonzero(fits & (k == kk))
-            p = t[start[rows][:, None] + np.arange(kk + s)]
+            p = t[begin[rows][:, None] + np.arange(kk + s)]
             combos = np.array(list(combinations(range(kk + s), s)))
             keys = np.full((len(rows), len(combos)), s, np.uint64)
             for c in range(s):
                 keys = _mixed(keys ^ p[:, combos[:, c]], 1)
-            out.append([keys.ravel().view(np.int64), *(np.repeat(c[rows], keys.shape[1]) for c in (ids, size, *sketch))])
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
+            out.append([keys.ravel().view(np.int64), *(np.repeat(c[rows], keys.shape[1]) for c in (ids, size, sketch))])
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
 
 
-def prefix_lists(classes: DataFrame, freq: np.ndarray) -> DataFrame:
-    """``key, class_id, n, s0, s1``: a row per list that a word sequence of SHORTEST or more words stands in."""
-    sent = classes.sparkSession.sparkContext.broadcast(freq)
+def prefix_lists(reps: DataFrame, count: np.ndarray, other: np.ndarray) -> DataFrame:
+    """``key, id, n, s``: a row per list that a sentence ``id, w`` of SHORTEST or more words stands in."""
+    sent = reps.sparkSession.sparkContext.broadcast((count, other))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = _keys(b.column(1), b.column(0).to_numpy(), sent.value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds, strict=True)], names=["key", "class_id", "n", "s0", "s1"])
+            cols = _keys(b.column(1), b.column(0).to_numpy(), *sent.value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds, strict=True)], names=["key", "id", "n", "s"])
 
-    return classes.where(F.size("words") >= SHORTEST).select("class_id", word_hashes(F.col("words"))).mapInArrow(lists, "key bigint, class_id bigint, n int, s0 bigint, s1 bigint")
+    return reps.select("id", word_hashes(F.split("w", " "))).mapInArrow(lists, "key bigint, id bigint, n int, s bigint")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Different pairs ``l_id, r_id`` of classes that meet in a list, of admissible lengths and sketches."""
-    a = left.select("key", *[F.col(c).alias(f"l_{c}") for c in ("class_id", "n", "s0", "s1")])
-    b = right.select("key", *[F.col(c).alias(f"r_{c}") for c in ("class_id", "n", "s0", "s1")])
+    """Different pairs ``l_id, r_id`` that meet in a list, of admissible lengths and sketches."""
+    a = left.select("key", *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "s")])
+    b = right.select("key", *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "s")])
     n, m = F.greatest("l_n", "r_n"), F.least("l_n", "r_n")
     k = F.floor(n / 10)
-    apart = F.bit_count(F.col("l_s0").bitwiseXOR(F.col("r_s0"))) + F.bit_count(F.col("l_s1").bitwiseXOR(F.col("r_s1")))
-    met = a.join(b, "key").where((m >= n - k) & (apart <= 2 * k - (n - m)))
-    return met.select(F.col("l_class_id").alias("l_id"), F.col("r_class_id").alias("r_id")).distinct()
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keep = []
-        for a, b in zip(pdf["l_words"], pdf["r_words"], strict=True):
-            a, b = list(a), list(b)
-            n = max(len(a), len(b))
-            k = n // 10
-            dot = (Counter(a) & Counter(b)).total() / (len(a) * len(b)) ** 0.5
-            keep.append(dot >= (n - k) / n - 1e-9 and within_edits(a, b, k))
-        yield pdf.loc[np.array(keep, bool), ["l_id", "r_id"]]
-
+    met = a.join(b, "key").where((m >= n - k) & (F.bit_count(F.col("l_s").bitwiseXOR(F.col("r_s"))) <= 2 * k - (n - m)))
+    return met.select("l_id", "r_id").distinct()
 
-def _classes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("words").agg(F.min("row_id").alias("class_id"))
 
+def _verified(pairs: DataFrame, count: np.ndarray) -> DataFrame:
+    """The pairs ``l_id, r_id, l_n, r_n, l_w, r_w`` that reach the threshold and are within their edits, without the texts."""
+    sent = pairs.sparkSession.sparkContext.broadcast(np.log1p(max(1, int(count.sum())) / np.maximum(count, 1)) ** 2)
+    ids = [f.name for f in pairs.schema.fields if f.name not in ("l_w", "r_w")]
 
-def split_overlaps(left: DataFrame, right: DataFrame, id_col: str, sentence: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links between the word sequences of two splits, and the members of each.
-
-    Returns ``links`` (``l_id, r_id``: class ids of sequences that differ by at most a tenth of the longer one's
-    words, equal ones included), ``left_members`` and ``right_members`` (``class_id, row_id``). The class id is the
-    smallest row id with that word sequence on that side. Null sentences and those without words have no class. Ids must be
-    integers; other columns are ignored. Empty sides give empty results.
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            weights, terms, ends = [], [], []
+            for c in ("l_h", "r_h"):
+                _, t, size = _terms(b.column(b.schema.get_field_index(c)))
+                terms.append(t)
+                weights.append(sent.value[_bucket(t)])
+                ends.append(np.concatenate([[0], np.cumsum(size)]))
+            texts = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("l_w", "r_w")), strict=True)
+            keep = []
+            for i, (x, y) in enumerate(texts):
+                (t, u), (v, w) = ((terms[j][ends[j][i] : ends[j][i + 1]], weights[j][ends[j][i] : ends[j][i + 1]]) for j in (0, 1))
+                n = max(len(t), len(v))
+                k = n // 10
+                dot = u[np.isin(t, v)].sum()
+                floor = max(z.sum() - np.sort(z)[::-1][: k - (n - len(z))].sum() if k >= n - len(z) else np.inf for z in (u, w))
+                keep.append(bool(dot >= floor - 1e-6) and within_edits(x.split(" "), y.split(" "), k))
+            yield b.filter(pa.array(keep, pa.bool_())).select(ids)
+
+    hashed = [word_hashes(F.split(c, " ")).alias(h) for c, h in (("l_w", "l_h"), ("r_w", "r_h"))]
+    return pairs.select("*", *hashed).mapInArrow(verify, ", ".join(f"{c} bigint" for c in ids))
+
+
+class Overlaps:
+    """The links between the word sequences of two splits, and the members of each.
+
+    ``links``: ``l_id, r_id, l_n, r_n``: class ids of sequences that differ by at most a tenth of the longer one's words, equal
+    ones included, with their numbers of members. ``members(0)``, ``members(1)``: ``class_id, row_id, n`` of either side. The class id
+    is the smallest row id with that word sequence on that side. Null sentences, those without words and rows without an id have no
+    class. Ids must be integers that differ within a side; other columns are ignored. Empty sides give empty results.
     """
-    need(left, id_col, sentence)
-    need(right, id_col, sentence)
-    sides = []
-    for df in (left, right):
-        rows = df.select(F.col(id_col).cast("bigint").alias("row_id"), words(F.col(sentence)).alias("words")).where(F.size("words") > 0)
-        sides.append((rows, checkpointed(_classes(rows))))
-    (l_rows, l_cls), (r_rows, r_cls) = sides
-    hashed = l_cls.unionByName(r_cls).select(word_hashes(F.col("words")))
-    table = hashed.mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
-    freq = np.zeros(BUCKETS, np.int64)
-    freq[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    cand = candidates(prefix_lists(l_cls, freq), prefix_lists(r_cls, freq))
-    lw, rw = l_cls.select(F.col("class_id").alias("l_id"), F.col("words").alias("l_words")), r_cls.select(F.col("class_id").alias("r_id"), F.col("words").alias("r_words"))
-    near = cand.join(lw, "l_id").join(rw, "r_id").select("l_id", "r_id", "l_words", "r_words").where("l_words <> r_words").mapInPandas(_verify, "l_id bigint, r_id bigint")
-    equal = lw.join(rw, F.col("l_words") == F.col("r_words")).select("l_id", "r_id")
-    members = [rows.join(cls, "words").select("class_id", "row_id") for rows, cls in sides]
-    return equal.unionByName(near), members[0], members[1]
+
+    def __init__(self, left: DataFrame, right: DataFrame, id_col: str, sentence: str):
+        sides = []
+        for df in (left, right):
+            need(df, id_col, sentence)
+            rows = df.select(F.col(id_col).cast("bigint").alias("id"), plain(F.col(sentence)).alias("w")).where("id IS NOT NULL AND w <> ''")
+            sides.append(rows.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1))
+        hashed = [r.select(F.lit(i).alias("side"), "id", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), "n") for i, r in enumerate(sides)]
+        self._keys = checkpointed(hashed[0].unionByName(hashed[1]))
+        self._total = self._keys.count()
+        ids = [f(F.when(F.col("side") == i, F.col("id"))).alias(c) for i, p in enumerate("lr") for f, c in ((F.min, f"{p}_id"), (F.count, f"{p}_n"))]
+        self._classes = checkpointed(self._keys.groupBy("h1", "h2", "n").agg(*ids))
+        freq = [frequencies(r) for r in sides]
+        count = freq[0] + freq[1]
+        reps, lists = [], []
+        for i, p in enumerate("lr"):
+            own = self._classes.where((F.col(f"{p}_n") > 0) & (F.col("n") >= SHORTEST)).select(F.col(f"{p}_id").alias("c"), f"{p}_n")
+            texts = sides[i].where(F.col("n") >= SHORTEST).select("id", "w")
+            reps.append(texts.join(own.hint("shuffle_hash"), F.col("id") == F.col("c")).drop("c"))
+            lists.append(prefix_lists(reps[i], count, freq[1 - i]))
+        pairs = candidates(*lists)
+        for p, r in zip("lr", reps, strict=True):
+            pairs = pairs.join(r.withColumnsRenamed({"id": f"{p}_id", "w": f"{p}_w"}).hint("shuffle_hash"), f"{p}_id")
+        near = _verified(pairs.where("l_w <> r_w").select("l_id", "r_id", "l_n", "r_n", "l_w", "r_w"), count)
+        equal = self._classes.where("l_n > 0 AND r_n > 0").select("l_id", "r_id", "l_n", "r_n")
+        self.links = equal.unionByName(near)
+
+    def members(self, side: int, more: DataFrame | None = None) -> DataFrame:
+        """``class_id, row_id, n`` of a side, with what ``more`` has for a class (``class_id`` and other columns)."""
+        p = "lr"[side]
+        groups = self._classes.where(f"{p}_n > 0").select("h1", "h2", F.col(f"{p}_id").alias("class_id"), F.col(f"{p}_n").alias("n"), F.col(f"{p}_n").alias("size"))
+        if more is not None:
+            groups = checkpointed(groups.join(more, "class_id", "left"))
+        rows = self._keys.where(F.col("side") == side).select(F.col("id").alias("row_id"), "h1", "h2")
+        return join_groups(rows, groups, ["h1", "h2"], "size", self._total).drop("h1", "h2")
+
+    def pairs(self) -> DataFrame:
+        """All pairs of linked rows, ``l_row, r_row``. A class of more than PART members is dealt to several tasks, and its links to all of them."""
+        out = self.links
+        for p in "lr":
+            parts = F.ceil(F.col(f"{p}_n") / PART).cast("int")
+            out = out.withColumn(f"{p}_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        for i, p in enumerate("lr"):
+            part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / PART)).cast("int")
+            m = self.members(i).select(F.col("class_id").alias(f"{p}_id"), part.alias(f"{p}_part"), F.col("row_id").alias(f"{p}_row"))
+            out = out.join(m, [f"{p}_id", f"{p}_part"])
+        return out.select("l_row", "r_row")

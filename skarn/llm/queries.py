@@ -55,42 +55,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 _TRAIN = ("tram_train", "tram_train_augmented_artificial")
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _overlaps(spark: SparkSession, d: str) -> cosjoin.Overlaps:
     ship(spark)
     train = table(spark, d, _TRAIN[0]).select("sent_id", "sentence").unionByName(table(spark, d, _TRAIN[1]).select("sent_id", "sentence"))
-    return cosjoin.split_overlaps(table(spark, d, "tram_test"), train, "sent_id", "sentence")
+    return cosjoin.Overlaps(table(spark, d, "tram_test"), train, "sent_id", "sentence")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    links, left, right = _overlaps(spark, d)
-    l, r = left.select(F.col("class_id").alias("l_id"), F.col("row_id").alias("a")), right.select(F.col("class_id").alias("r_id"), F.col("row_id").alias("b"))
-    return links.join(l, "l_id").join(r, "r_id").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    return _overlaps(spark, d).pairs().select(F.least("l_row", "r_row").alias("id_a"), F.greatest("l_row", "r_row").alias("id_b"))
 
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every test sentence with its class and the number of training sequences and rows linked to it."""
-    links, left, right = _overlaps(spark, d)
-    size = right.groupBy("class_id").agg(F.count(F.lit(1)).alias("rows"))
-    n = links.join(size, F.col("r_id") == F.col("class_id")).groupBy("l_id").agg(F.count(F.lit(1)).alias("links"), F.sum("rows").alias("train_rows"))
-    return left.join(n, F.col("class_id") == F.col("l_id"), "left").select(F.col("row_id").alias("sent_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("train_rows", F.lit(0)).alias("train_rows"))
+    o = _overlaps(spark, d)
+    n = o.links.groupBy(F.col("l_id").alias("class_id")).agg(F.count(F.lit(1)).alias("links"), F.sum("r_n").alias("train_rows"))
+    none = F.lit(0).cast("bigint")
+    return o.members(0, n).select(F.col("row_id").alias("sent_id"), "class_id", F.coalesce("links", none).alias("links"), F.coalesce("train_rows", none).alias("train_rows"))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping test sentences per training split and source, counted without expanding pairs."""
-    links, left, right = _overlaps(spark, d)
-    n_left = left.groupBy("class_id").agg(F.count(F.lit(1)).alias("test_rows"))
+    o = _overlaps(spark, d)
     where = None
     for t in _TRAIN:
         own = table(spark, d, t).select(F.col("sent_id").alias("row_id"), F.lit(t).alias("split"), "doc_title")
         where = own if where is None else where.unionByName(own)
-    src = right.join(where, "row_id").groupBy("class_id", "split", "doc_title").agg(F.count(F.lit(1)).alias("train_rows"))
-    return (
-        links.join(src, F.col("r_id") == src["class_id"])
-        .drop("class_id")
-        .join(n_left, F.col("l_id") == n_left["class_id"])
-        .groupBy("split", "doc_title")
-        .agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("train_rows") * F.col("test_rows")).alias("pairs"))
-    )
+    src = o.members(1).join(where, "row_id").groupBy("class_id", "split", "doc_title").agg(F.count(F.lit(1)).alias("train_rows"))
+    linked = o.links.groupBy(F.col("r_id").alias("class_id")).agg(F.count(F.lit(1)).alias("links"), F.sum("l_n").alias("test_rows"))
+    return linked.join(src, "class_id").groupBy("split", "doc_title").agg(F.sum("links").alias("links"), F.sum(F.col("train_rows") * F.col("test_rows")).alias("pairs"))
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -39,14 +39,8 @@ def mutate(r, w, k):
     return w
 
 
-def pairs(links, left, right):
-    l = {}
-    for r in left.collect():
-        l.setdefault(r["class_id"], []).append(r["row_id"])
-    q = {}
-    for r in right.collect():
-        q.setdefault(r["class_id"], []).append(r["row_id"])
-    return sorted((a, b) for x in links.collect() for a in l[x["l_id"]] for b in q[x["r_id"]])
+def pairs(o):
+    return sorted(map(tuple, o.pairs().collect()))
 
 
 def test_no_pair_is_lost(spark):
@@ -62,7 +56,7 @@ def test_no_pair_is_lost(spark):
     train += [(90_000, None), (90_001, ""), (90_002, "___ --"), (90_003, test[5][1]), (90_004, test[5][1])]
     a = spark.createDataFrame(test, "id bigint, s string").withColumnRenamed("s", "words")
     b = spark.createDataFrame(train, "id bigint, words string")
-    got = pairs(*cosjoin.split_overlaps(a, b, "id", "words"))
+    got = pairs(cosjoin.Overlaps(a, b, "id", "words"))
     import regex
 
     split = lambda s: regex.findall(r"[\p{L}\p{N}]+", (s or "").lower())
@@ -80,14 +74,36 @@ def test_no_pair_is_lost(spark):
 def test_copies_are_one_class_and_empty_sides(spark):
     a = spark.createDataFrame([(i, "Back to top") for i in range(50)], "id bigint, s string")
     b = spark.createDataFrame([(100 + i, "back, to top!") for i in range(70)], "id bigint, s string")
-    links, left, right = cosjoin.split_overlaps(a, b, "id", "s")
-    assert [tuple(r) for r in links.collect()] == [(0, 100)]
-    assert left.count() == 50 and right.count() == 70
-    assert cosjoin.split_overlaps(a.limit(0), b, "id", "s")[0].count() == 0
+    o = cosjoin.Overlaps(a, b, "id", "s")
+    assert [tuple(r) for r in o.links.collect()] == [(0, 100, 50, 70)]
+    assert o.members(0).count() == 50 and o.members(1).count() == 70
+    assert pairs(o) == [(i, 100 + j) for i in range(50) for j in range(70)]
+    assert pairs(cosjoin.Overlaps(a.limit(0), b, "id", "s")) == []
+
+
+def test_hot_classes_are_dealt_to_parts(spark, monkeypatch):
+    from skarn import runtime
+
+    monkeypatch.setattr(cosjoin, "PART", 7)
+    monkeypatch.setattr(runtime, "HOT", 10)
+    monkeypatch.setattr(runtime, "HOT_GROUPS", 5)
+    line = "one two three four five six seven eight nine ten"
+    a = spark.createDataFrame([(i, line if i < 30 else f"{line} {i}") for i in range(40)], "id bigint, s string")
+    b = spark.createDataFrame([(100 + i, line if i < 50 else f"x{i} {line}") for i in range(60)] + [(None, line)], "id bigint, s string")
+    got = pairs(cosjoin.Overlaps(a, b, "id", "s"))
+    # ten words with one more differ by one, two lines with a word more each by two
+    assert got == sorted([(i, 100 + j) for i in range(30) for j in range(60)] + [(i, 100 + j) for i in range(30, 40) for j in range(50)])
 
 
 def test_words(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("Ä_b-2３ don’t",), ("",), ("_ _",)], "s string")
-    assert [r[0] for r in df.select(cosjoin.words(F.col("s"))).collect()] == [["ä", "b", "2３", "don", "t"], [], []]
+    df = spark.createDataFrame([("Ä_b-2３ don’t",), ("",), ("_ _",), (None,)], "s string")
+    assert [r[0] for r in df.select(cosjoin.plain(F.col("s"))).collect()] == ["ä b 2３ don t", "", "", None]
+
+
+def test_very_long_near_copies():
+    r = random.Random(9)
+    a = [f"w{r.randrange(500)}" for _ in range(100_000)]
+    b = a[:10] + ["new"] + a[10:50_000] + a[50_003:]
+    assert cosjoin.within_edits(a, b, 10_000) and not cosjoin.within_edits(a, b, 3)
