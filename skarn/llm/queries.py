@@ -39,17 +39,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def _sample(spark: SparkSession, d: str) -> rake.ProportionalSample:
+    return rake.ProportionalSample(table(spark, d, "syn_sentence_list"), table(spark, d, "label_targets"), "syn_id", "augmented_sentence", "labels")
+
+
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    sample, _ = rake.proportional_sample(table(spark, d, "syn_sentence_list"), table(spark, d, "label_targets"), "syn_id", "augmented_sentence", "labels")
-    return sample.select(F.col("row_id").alias("syn_id"), "category", F.col("text").alias("augmented_sentence"), "weight")
+    return _sample(spark, d).texts().select(F.col("row_id").alias("syn_id"), "category", F.col("text").alias("augmented_sentence"), "weight")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return rake.proportional_sample(table(spark, d, "syn_sentence_list"), table(spark, d, "label_targets"), "syn_id", "augmented_sentence", "labels")[1]
+    """What every category needs, has and lacks after the draw."""
+    return _sample(spark, d).report.select("category", "target_share", "min_rows", F.round("needed", 6).alias("needed"), "available", F.round("lacking", 6).alias("lacking"))
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted share of every category, its rows by the keys alone and after the repair, and the residual gap of its share."""
+    return _sample(spark, d).report.select("category", "raked", "keyed", "drawn", "gap")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_report(spark, d).where("lacking > 0").select("category")
+    return _sample(spark, d).report.where("lacking > 0").select("category")
 
 
 _TRAIN = ("tram_train", "tram_train_augmented_artificial")
@@ -164,8 +173,8 @@ WITH u AS (SELECT augmented_sentence AS s, list_filter(list_transform(labels, la
 c AS (SELECT coalesce(l[1], 'NO_TTP') AS category, count(DISTINCT s) AS available FROM u
   WHERE regexp_replace(s, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') <> '' GROUP BY 1),
 n AS (SELECT count(*) AS n FROM syn_sentence_list)
-SELECT category FROM label_targets LEFT JOIN c USING (category), n
-WHERE coalesce(available, 0) < greatest(min_rows::DOUBLE, target_share * 0.05::DOUBLE * n)
+SELECT category, target_share, min_rows, greatest(min_rows::DOUBLE, target_share * 0.05::DOUBLE * n) AS needed, coalesce(available, 0) AS available
+FROM label_targets LEFT JOIN c USING (category), n
 """
 
 
@@ -179,5 +188,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _P5,
         "p1_terms": _P1,
         "p1_found": f"SELECT dataset, term AS label, mark FROM ({_P1}) WHERE mark IS NOT NULL",
-        "p3_found": _P3,
+        "p3_found": f"SELECT category FROM ({_P3}) WHERE available < needed",
+        "p3_report": f"SELECT category, target_share, min_rows, round(needed, 6) AS needed, available, round(greatest(0, needed - available), 6) AS lacking FROM ({_P3})",
     }

@@ -1,31 +1,35 @@
 """A sample that matches target proportions: raking, weighted exponential keys, repaired minimums.
 
-1. Weights are raked by iterative proportional fitting over the cells of several margins (the category and any
-   others); the cells are products of the margins' values, a small table whatever the number of rows.
-2. Every cell gets a whole number of rows from its fitted weight; a cell can't give more than it has.
-3. Minimums of the categories are repaired from what larger categories can spare; what can't be met is reported.
-4. Within a cell the rows with the smallest exponential keys ``-ln(u)/w`` are drawn, u from a hash of the row's id.
-   The keys are cut in two steps (bucket counts, then ranks inside the one bucket that the cut falls in), so no
-   task ever sorts a whole cell, even where one category holds most rows.
+1. Weights are raked by iterative proportional fitting over the cells of three category margins: the category with its
+   targets, and the band of text length and whether a row has further labels, both as they are in the pool. The cells are a small table,
+   whatever the number of rows.
+2. Every row gets the exponential key ``-ln(u)/w``, u from a hash of its id, w its cell's weight shared among the cell's rows. The
+   rows with the smallest keys of all are the weighted sample; a category's rows among them are what the keys gave it.
+3. Minimums are repaired: a category below its need takes its next smallest keys, categories above theirs give
+   their largest keys back. Within a category rows of different cells keep their different weights.
+4. The residual gaps of the rows drawn are reported; a category with a gap falls short.
+
+Keys are cut in two steps (counts of keys in buckets of a 256th of an octave, then ranks inside the one bucket that the cut falls
+in), so no task ever sorts a whole category, even where one holds most rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from skarn.llm.burst import SPACE
-from skarn.runtime import need
+from skarn.runtime import checkpointed, need
 
-#: Key buckets per cell; the ranked boundary bucket holds about 1/BUCKETS of a cell.
-BUCKETS = 4096
-#: Most cells (values of margin one times values of the others) that are fitted on the driver.
-MAX_CELLS = 100_000
+#: Key buckets per octave; the ranked bucket holds about 0.3 % of what is drawn from a category.
+PER_OCTAVE = 256
+#: Most target categories; their cells are fitted on the driver. More raise an error.
+MAX_TARGETS = 100_000
 
 
 def first_category(labels: Column, none: str = "NO_TTP") -> Column:
@@ -39,18 +43,24 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (F.regexp_replace(c, SPACE, "") == "")
 
 
+def length_band(text: Column) -> Column:
+    """The second margin: short (0), middle (1) and long (2) texts, in characters."""
+    n = F.length(text)
+    return F.when(n < 120, 0).when(n < 200, 1).otherwise(2)
+
+
 def distinct_pool(df: DataFrame, id_col: str, text: str, labels: str, none: str = "NO_TTP") -> DataFrame:
-    """One row per category and different text: ``category, text, row_id``, the smallest id standing for its copies.
+    """One row per category and different text: ``category, h1, h2, row_id, band, several``; the smallest id stands for its copies.
 
-    Rows whose labels are null or whose text is null or blank are unusable and dropped; texts are compared exactly.
+    Rows whose labels are null, whose text is null or blank or that have no id are unusable and dropped; texts are told
+    apart exactly, by 128 bits. ``several``: 1 if some copy has more items than its category.
     """
     need(df, id_col, text, labels)
-    return (
-        df.select(F.col(id_col).alias("row_id"), F.col(text).alias("text"), first_category(F.col(labels), none).alias("category"))
-        .where(F.col("category").isNotNull() & ~is_blank(F.col("text")))
-        .groupBy("category", "text")
-        .agg(F.min("row_id").alias("row_id"))
-    )
+    more = F.size(F.filter(labels, lambda x: x.isNotNull() & ~is_blank(x))) > 1
+    rows = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text).alias("text"), first_category(F.col(labels), none).alias("category"), more.cast("int").alias("several"))
+    rows = rows.where(F.col("category").isNotNull() & ~is_blank(F.col("text")) & F.col("row_id").isNotNull())
+    rows = rows.select("category", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "row_id", length_band(F.col("text")).alias("band"), "several")
+    return rows.groupBy("category", "h1", "h2").agg(F.min("row_id").alias("row_id"), F.min("band").alias("band"), F.max("several").alias("several"))
 
 
 def rake(available: Mapping[tuple, int], margins: list[Mapping], rounds: int = 100, tol: float = 1e-9) -> dict[tuple, float]:
@@ -82,118 +92,118 @@ def rake(available: Mapping[tuple, int], margins: list[Mapping], rounds: int = 1
     return dict(zip(cells, w.tolist(), strict=True))
 
 
-def quotas(available: Mapping[tuple, int], weights: Mapping[tuple, float], size: int, minimum: Mapping[str, int]) -> dict[tuple, int]:
-    """Whole rows per cell in proportion to the weights, never more than there are, category minimums repaired.
+def repaired(drawn: np.ndarray, available: np.ndarray, minimum: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """Rows per category after the repair of ``drawn``: at least the minimums where there are so many rows, ``size`` in all where that can be.
 
-    The first value of a cell is its category. A category short of its minimum takes what its cells still have;
-    as many rows are taken back from the categories furthest above their own minimum, so the size stays the same where it can.
+    What is drawn beyond the size is taken back from what categories have above their minimums, in proportion to it; what lacks
+    is added by weight where rows are left. Minimums go before the size.
     """
-    cells = sorted(weights, key=str)
-    q = dict.fromkeys(cells, 0)
-    left = size
-    while left > 0 and (open_ := [c for c in cells if q[c] < available[c] and weights[c] > 0]):
-        # What full cells can't take goes to the others by their weights, the last rows by largest remainders.
-        total = sum(weights[c] for c in open_)
-        share = {c: left * weights[c] / total for c in open_}
-        add = {c: min(int(share[c]), available[c] - q[c]) for c in open_}
-        if not any(add.values()):
-            add = dict.fromkeys(sorted(open_, key=lambda c: (-share[c], str(c)))[:left], 1)
-        for c, n in add.items():
-            q[c] += n
-            left -= n
-    by_cat: dict[str, list[tuple]] = {}
-    for c in cells:
-        by_cat.setdefault(c[0], []).append(c)
-    have = {k: sum(q[c] for c in v) for k, v in by_cat.items()}
-    for k, own in by_cat.items():
-        lack = minimum.get(k, 0) - have[k]
-        for c in sorted(own, key=lambda c: -(available[c] - q[c])):
-            take = min(max(0, lack), available[c] - q[c])
-            q[c] += take
-            have[k] += take
-            lack -= take
-            while take > 0:
-                spare, donor = max(((have[d] - minimum.get(d, 0), d) for d in have if d != k), default=(0, ""))
-                if spare <= 0:
-                    break
-                cell = max(by_cat[donor], key=lambda c: q[c])
-                back = min(take, spare, q[cell])
-                q[cell] -= back
-                have[donor] -= back
-                take -= back
+    floor = np.minimum(available, minimum)
+    q = np.maximum(np.minimum(drawn, available), floor)
+    over = int(q.sum()) - size
+    if over > 0:
+        q = q - _dealt(min(over, int((q - floor).sum())), (q - floor).astype(float), q - floor)
+    elif over < 0:
+        q = q + _dealt(min(-over, int((available - q).sum())), weight, available - q)
     return q
 
 
-def draw(pool: DataFrame, cell_cols: list[str], quota: DataFrame, id_col: str, seed: int = 17) -> DataFrame:
-    """The ``n`` rows of each cell with the smallest exponential keys; ties by id.
-
-    ``quota`` has the cell columns, ``n`` and ``weight`` (a bounded table, broadcast). Rows of other cells are dropped.
-    """
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = pool.join(F.broadcast(quota.where("n > 0")), cell_cols).withColumn("_key", -F.log(u) / F.greatest(F.col("weight"), F.lit(1e-12)))
-    # Within a cell all weights are equal, so exp(-w * key) = u is uniform: equal parts of it are even buckets.
-    keyed = keyed.withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("_key") * F.greatest(F.col("weight"), F.lit(1e-12)))) * BUCKETS)).cast("int"))
-    counts = keyed.groupBy(*cell_cols, "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("_n"))
-    before = F.coalesce(F.sum("_c").over(W.partitionBy(*cell_cols).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # The bucket the cut falls in, one row per cell.
-    cut = counts.withColumn("_before", before).where("_before < _n AND _before + _c >= _n").select(*cell_cols, F.col("_bucket").alias("_cut"), (F.col("_n") - F.col("_before")).alias("_left"))
-    marked = keyed.join(F.broadcast(cut), cell_cols, "left")
-    whole = marked.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")))
-    rank = F.row_number().over(W.partitionBy(*cell_cols).orderBy("_key", id_col))
-    edge = marked.where(F.col("_bucket") == F.col("_cut")).withColumn("_r", rank).where("_r <= _left").drop("_r")
-    drop = ["_key", "_bucket", "_cut", "_left", "n"]
-    return whole.drop(*drop).unionByName(edge.drop(*drop))
-
-
-def shortfalls(pool: DataFrame, targets: DataFrame, n_rows: DataFrame, fraction: float) -> DataFrame:
-    """Every target category with its different texts, what it needs and what it lacks.
-
-    ``targets``: ``category, target_share, min_rows``; ``n_rows``: one row, ``n_rows``. Needed is the greater of
-    ``min_rows`` and ``target_share * fraction * n_rows``, not rounded. A category without rows has 0 available.
-    """
-    have = pool.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
-    need_rows = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.lit(fraction) * F.col("n_rows"))
-    return (
-        targets.join(have, "category", "left")
-        .join(F.broadcast(n_rows))
-        .select("category", "target_share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"), need_rows.alias("needed"))
-        .withColumn("lacking", F.greatest(F.lit(0.0), F.col("needed") - F.col("available")))
-    )
+def _dealt(n: int, weight: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``n`` whole rows in proportion to the weights, at most ``most`` each (whose sum is at least n); rest rows by largest remainders."""
+    out = np.zeros(len(most), np.int64)
+    while n > 0:
+        open_ = out < most
+        w = np.where(open_, weight, 0.0)
+        w = w if w.sum() > 0 else open_.astype(float)
+        share = n * w / w.sum()
+        add = np.minimum(np.floor(share).astype(np.int64), most - out)
+        if not add.any():
+            first = np.lexsort((np.arange(len(w)), -share))
+            add[first[open_[first]][:n]] = 1
+        out += add
+        n -= int(add.sum())
+    return out
 
 
-def length_band(text: Column) -> Column:
-    """The second margin: short, middle and long texts, in characters."""
-    n = F.length(text)
-    return F.when(n < 120, "short").when(n < 200, "middle").otherwise("long")
+def _log_key(w: Column, seed: int) -> Column:
+    """The binary logarithm of the exponential key of a row, from its id and weight."""
+    u = (F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return F.log2(-F.log(u)) - F.log2(w)
 
 
-def proportional_sample(df: DataFrame, targets: DataFrame, id_col: str, text: str, labels: str, fraction: float = 0.05, seed: int = 17, none: str = "NO_TTP") -> tuple[DataFrame, DataFrame]:
+class ProportionalSample:
     """The sample and its report.
 
-    The sample has ``row_id, category, band, text, weight``: ``fraction`` of the rows of ``df``, different texts
-    within a category only, shares as in ``targets`` and text-length bands as in the pool, both raked.
-    The report has one row per target category: ``needed``, ``available``, ``lacking``, ``drawn`` and ``gap``
-    (its target minus its share of the sample). Unusable rows count in the size but aren't drawn. An empty table gives an
-    empty sample and a report in which every category lacks what its minimum asks for.
+    ``rows``: ``row_id, category, band, several, weight`` of ``fraction`` of the rows of the table: different texts within a
+    category only, shares as in ``targets`` (``category, target_share, min_rows``, a row per category). A category needs
+    the greater of ``min_rows`` and ``target_share * fraction * rows``, not rounded, and gets the next whole number where it has as many texts; the
+    sample may so be larger than the fraction by less than a row per category and the minimums. Unusable rows count in the size but
+    aren't drawn; categories without a target aren't drawn. ``report``: ``category, target_share, min_rows, needed, available, raked``
+    (fitted share), ``keyed`` (rows by the keys alone), ``drawn, lacking`` (need minus rows drawn, at least 0) and ``gap``
+    (target share minus share of the sample). An empty table gives an empty sample, and every category lacks what its minimum asks for.
     """
-    spark = df.sparkSession
-    pool = distinct_pool(df, id_col, text, labels, none).withColumn("band", length_band(F.col("text")))
-    n = df.count()
-    share = {r["category"]: (r["target_share"], r["min_rows"]) for r in targets.select("category", "target_share", "min_rows").take(MAX_CELLS)}
-    # At most three bands for each target category: a table of bounded size.
-    cells = {(r["category"], r["band"]): r["n"] for r in pool.join(F.broadcast(targets.select("category")), "category").groupBy("category", "band").agg(F.count(F.lit(1)).alias("n")).take(MAX_CELLS)}
-    bands: dict[str, float] = {}
-    for (_, b), c in cells.items():
-        bands[b] = bands.get(b, 0) + c
-    fitted = rake(cells, [{c: s for c, (s, _) in share.items()}, bands])
-    q = quotas(cells, fitted, round(n * fraction), {c: m for c, (_, m) in share.items()})
-    schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("band", T.StringType()), T.StructField("n", T.LongType()), T.StructField("weight", T.DoubleType())])
-    sample = draw(pool, ["category", "band"], spark.createDataFrame([(c, b, k, fitted[c, b]) for (c, b), k in q.items()], schema), "row_id", seed)
-    drawn: dict[str, int] = {}
-    for (c, _), k in q.items():
-        drawn[c] = drawn.get(c, 0) + k
-    total = max(1, sum(drawn.values()))
-    rows = [(c, drawn.get(c, 0), s - drawn.get(c, 0) / total) for c, (s, _) in share.items()]
-    got = spark.createDataFrame(rows, "category string, drawn bigint, gap double")
-    report = shortfalls(pool, targets, df.agg(F.count(F.lit(1)).alias("n_rows")), fraction).join(F.broadcast(got), "category")
-    return sample, report
+
+    def __init__(self, df: DataFrame, targets: DataFrame, id_col: str, text: str, labels: str, fraction: float = 0.05, seed: int = 17, none: str = "NO_TTP"):
+        spark = df.sparkSession
+        asked = targets.select("category", F.col("target_share").cast("double"), F.col("min_rows").cast("bigint")).take(MAX_TARGETS + 1)
+        if len(asked) > MAX_TARGETS:
+            raise ValueError(f"more than {MAX_TARGETS} target categories")
+        self._df, self._columns, self._none, self._seed = df, (id_col, text, labels), none, seed
+        n = df.count()
+        names = [r["category"] for r in asked]
+        share = {r["category"]: r["target_share"] or 0.0 for r in asked}
+        needed = {r["category"]: max(float(r["min_rows"] or 0), share[r["category"]] * fraction * n) for r in asked}
+        known = spark.createDataFrame([(c,) for c in names], "category string")
+        pool = checkpointed(distinct_pool(df, id_col, text, labels, none).join(F.broadcast(known), "category"))
+        cell = ["category", "band", "several"]
+        # At most six cells per target.
+        cells = {(r["category"], r["band"], r["several"]): r["n"] for r in pool.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).collect()}
+        margins: list[dict] = [share, {}, {}]
+        for c, k in cells.items():
+            for i in (1, 2):
+                margins[i][c[i]] = margins[i].get(c[i], 0) + k
+        fitted = rake(cells, margins)
+        least = min((w / cells[c] for c, w in fitted.items() if w > 0), default=1.0) * 1e-6
+        weights = {c: max(fitted.get(c, 0.0) / k, least) for c, k in cells.items()}
+        schema = "category string, band int, several int, weight double"
+        keyed = pool.join(F.broadcast(spark.createDataFrame([(*c, w) for c, w in weights.items()], schema)), cell)
+        keyed = keyed.withColumn("_log", _log_key(F.col("weight"), seed)).withColumn("_bucket", F.floor(F.col("_log") * PER_OCTAVE).cast("int"))
+        counts = checkpointed(keyed.groupBy("category", "_bucket").agg(F.count(F.lit(1)).alias("n")))
+        # The keys span some hundred octaves at most, so this table is small; the common cut lies between two buckets.
+        by_bucket = np.array([tuple(r) for r in counts.groupBy("_bucket").agg(F.sum("n")).orderBy("_bucket").collect()], np.int64).reshape(-1, 2)
+        size = round(n * fraction)
+        below = by_bucket[np.cumsum(by_bucket[:, 1]) <= size, 0]
+        under = F.sum(F.when(F.col("_bucket") <= int(below[-1]) if len(below) else F.lit(False), F.col("n")).otherwise(0))
+        first = {r["category"]: (r["a"], r["b"]) for r in counts.groupBy("category").agg(F.sum("n").alias("a"), under.alias("b")).collect()}
+        available, by_keys = (np.array([first.get(c, (0, 0))[i] for c in names], np.int64) for i in (0, 1))
+        raked: dict[str, float] = {}
+        for c, w in fitted.items():
+            raked[c[0]] = raked.get(c[0], 0.0) + w
+        quota = repaired(by_keys, available, np.array([math.ceil(needed[c]) for c in names], np.int64), np.array([raked.get(c, 0.0) for c in names]), size)
+        plan = spark.createDataFrame([(c, int(q)) for c, q in zip(names, quota, strict=True) if q > 0], "category string, _n bigint")
+        # The bucket that each category's cut falls in, a row per category.
+        before = F.coalesce(F.sum("n").over(W.partitionBy("category").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        cut = counts.join(F.broadcast(plan), "category").withColumn("_before", before).where("_before < _n AND _before + n >= _n")
+        self._cut = cut.select("category", F.col("_bucket").alias("_cut"), (F.col("_n") - F.col("_before")).alias("_left"))
+        self._best = spark.createDataFrame([(c, max((w for k, w in weights.items() if k[0] == c), default=least)) for c in sorted({k[0] for k in weights})], "category string, _most double")
+        marked = keyed.join(F.broadcast(self._cut), "category")
+        rank = F.row_number().over(W.partitionBy("category").orderBy("_log", "row_id"))
+        edge = marked.where("_bucket = _cut").withColumn("_r", rank).where("_r <= _left").drop("_r")
+        self.rows = marked.where("_bucket < _cut").unionByName(edge).select("row_id", *cell, "weight")
+        known_rows = [(c, share[c], needed[c], int(a), raked.get(c, 0.0), int(b)) for c, a, b in zip(names, available, by_keys, strict=True)]
+        base = spark.createDataFrame(known_rows, "category string, target_share double, needed double, available bigint, raked double, keyed bigint")
+        drawn = self.rows.groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
+        got = base.join(F.broadcast(drawn), "category", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        total = F.greatest(F.sum("drawn").over(W.partitionBy()), F.lit(1))
+        gap = F.col("target_share") - F.col("drawn") / total
+        lacking = F.greatest(F.lit(0.0), F.col("needed") - F.col("drawn"))
+        report = got.withColumns({"gap": gap, "lacking": lacking}).join(targets.select("category", "min_rows"), "category")
+        self.report = report.select("category", "target_share", "min_rows", "needed", "available", "raked", "keyed", "drawn", "lacking", "gap")
+
+    def texts(self) -> DataFrame:
+        """The rows of the sample with their ``text``. Only rows whose own key can reach their category's cut are shuffled."""
+        id_col, text, labels = self._columns
+        own = self._df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text).alias("text"), first_category(F.col(labels), self._none).alias("category"))
+        near = own.join(F.broadcast(self._cut.join(self._best, "category")), "category")
+        near = near.where(_log_key(F.col("_most"), self._seed) <= (F.col("_cut") + 1) / PER_OCTAVE + 1e-9)
+        return self.rows.join(near.select("row_id", "text"), "row_id")
