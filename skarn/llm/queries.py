@@ -138,12 +138,13 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    """Texts and cut texts of every source; the share is of all its rows, null and blank texts included."""
-    cut = truncation.judged(_readings(spark, d)).groupBy("source").agg(F.count_if("cut").alias("cut_texts"))
+    """Texts and cut texts of every source, and which step found them; the share is of all its rows, null and blank texts included."""
+    steps = [F.count_if(F.col("cut") & (F.col("step") == k)).alias(f"by_{k}") for k in ("limit", "ending", "corpus")]
+    cut = truncation.judged(_readings(spark, d)).groupBy(F.col("source").alias("s")).agg(F.count_if("cut").alias("cut_texts"), *steps)
     rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
-    return rows.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "texts", F.coalesce("cut_texts", F.lit(0)).alias("cut_texts"), F.round(F.coalesce("cut_texts", F.lit(0)) / F.col("texts"), 6).alias("share")
-    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("cut_texts", "by_limit", "by_ending", "by_corpus")]
+    share = F.round(F.coalesce("cut_texts", F.lit(0)) / F.col("texts"), 6).alias("share")
+    return rows.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "texts", *counts, share)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

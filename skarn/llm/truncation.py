@@ -2,12 +2,12 @@
 
 Every text's length is recomputed as other systems would have counted it (characters, UTF-8 bytes, UTF-16 units, with
 entities escaped, as a JSON string, with CRLF line ends). Grouped by source, encoding and length, a storage limit shows as a
-length that far more texts have than the lengths around it. Then each ending is read: some are whole by their form (an
+length that far more texts have than the lengths around it. A text at a limit of its source is cut unless its ending is
+whole. Then the endings of the other texts are read: some are whole by their form (an
 end of a sentence, a closed table row or block), some are broken by their form (half an entity, a lone replacement
 character), and the rest is judged by what the whole corpus does: a signature, a list item, a file name or a
 closing phrase that many texts end with is whole, one that hardly any other text has is a fragment.
 Copies of a text are one witness, and no text is a witness of its own ending.
-An ending that could be either counts as cut where the text sits exactly at a limit of its source.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from skarn.runtime import checkpointed, need
+from skarn.runtime import broadcast_if_small, checkpointed, need
 
 #: A form is common for a text if this share of all different texts, and at least LEAST of them, have it besides that text.
 SHARE, LEAST = 0.0005, 3
@@ -201,41 +201,50 @@ def readings(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 
 
 def storage_limits(read: DataFrame, different: bool = False) -> DataFrame:
-    """``source, encoding, length, texts``: the lengths at which a source's texts pile up; copies count once if ``different``.
+    """``source, encoding, e, length, texts``: the lengths at which a source's texts pile up; copies count once if ``different``.
 
-    Each source keeps the encoding that shows its largest pile. Lengths below LOWEST are no limits: short texts recur.
+    A limit shows in several encodings of the same texts, so each text stands for the largest of the piles it is in (the first
+    encoding of equal ones); a pile that at least SPIKE texts stand for is a limit. A source may have several, in any
+    encodings. Lengths below LOWEST are no limits: short texts recur. Computed when called; a small table.
     """
-    each = read.where("doc_id IS NOT NULL AND kind <> 'blank'").where(F.col("in_source") | F.lit(not different)).select("source", F.posexplode("lens").alias("e", "length")).groupBy("source", "e", "length").agg(F.count(F.lit(1)).alias("texts"))
+    one = read.where("doc_id IS NOT NULL AND kind <> 'blank'").where(F.col("in_source") | F.lit(not different))
+    long = one.select("doc_id", "source", F.posexplode("lens").alias("e", "length")).where(F.col("length") >= LOWEST)
+    each = one.select("source", F.posexplode("lens").alias("e", "length")).groupBy("source", "e", "length").agg(F.count(F.lit(1)).alias("texts"))
     by = W.partitionBy("source", "e").orderBy("length")
     near = F.sum("texts").over(by.rangeBetween(-AROUND, AROUND)) - F.sum("texts").over(by.rangeBetween(-2, 2))
     piles = each.withColumn("near", near).where((F.col("length") >= LOWEST) & (F.col("texts") >= SPIKE) & (F.col("texts") > STEEP * (F.col("near") + 1) / (2 * AROUND - 4)))
-    # A limit shows in several encodings of the same texts; the one with the largest pile is the one it was set in.
-    best = piles.groupBy(F.col("source").alias("b_source")).agg(F.max_by("e", F.struct("texts", -F.col("e"))).alias("b_e"))
+    piles = broadcast_if_small(piles.select(F.col("source").alias("p_source"), F.col("e").alias("p_e"), F.col("length").alias("p_length"), "texts"))
+    met = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("e") == F.col("p_e")) & (F.col("length") == F.col("p_length"))
+    main = long.join(piles, met).groupBy("doc_id").agg(F.min_by(F.struct("source", "e", "length", "texts"), F.struct(-F.col("texts"), "e")).alias("x"))
     names = F.array(*[F.lit(x) for x in ENCODINGS])
-    met = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("e") == F.col("b_e"))
-    return piles.join(best, met).select("source", F.get(names, F.col("e")).alias("encoding"), "e", "length", "texts")
+    kept = main.groupBy("x.source", "x.e", "x.length", "x.texts").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") >= SPIKE)
+    return checkpointed(kept.select("source", F.get(names, F.col("e")).alias("encoding"), "e", "length", "texts"))
 
 
 def judged(read: DataFrame) -> DataFrame:
-    """``doc_id, source, kind, at_limit, cut`` of every text that isn't null.
+    """``doc_id, source, kind, at_limit, cut, step`` of every text that isn't null; ``step`` says what decided.
 
-    Blank texts are never cut. Forms are looked up in the counts of the whole corpus; limits in the exposed ones.
+    First the limits: a text that sits exactly at a limit of its source is cut unless its ending is whole by its form (``limit``).
+    Then the endings of the others: whole, open or broken by their form (``ending``), or a form that other texts
+    end with or hold, or don't (``corpus``). Blank texts are never cut (``blank``).
     """
-    # Most endings need no look-up; only the others are joined, so that they don't meet as null keys in one task.
-    plain = read.where("doc_id IS NOT NULL AND form IS NULL AND kind <> 'value'").select("doc_id", "source", "kind", F.lit(False).alias("at_limit"), F.col("kind").isin("open", "broken").alias("cut"))
-    docs = read.where("doc_id IS NOT NULL AND (form IS NOT NULL OR kind = 'value')")
+    docs = read.where("doc_id IS NOT NULL")
+    limits = broadcast_if_small(storage_limits(read, different=True).select(F.col("source").alias("l_source"), "e", "length"))
+    met = F.col("source").eqNullSafe(F.col("l_source")) & (F.col("d_e") == F.col("e")) & (F.col("d_length") == F.col("length"))
+    sizes = docs.where("kind <> 'blank'").select("doc_id", "source", F.posexplode("lens").alias("d_e", "d_length")).where(F.col("d_length") >= LOWEST)
+    at = sizes.join(limits, met, "left_semi").select("doc_id").distinct().withColumn("at_limit", F.lit(True))
+    placed = docs.join(at, "doc_id", "left").select("doc_id", "source", "kind", "form", "n", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
+    placed = checkpointed(placed)
+    # Only endings with a form need the corpus; the others aren't joined, so that they don't meet as null keys in one task.
+    clear = F.col("form").isNull() | (F.col("at_limit") & (F.col("kind") != "whole"))
+    hit = F.col("at_limit") & ~F.col("kind").isin("whole", "blank")
+    step = F.when(F.col("kind") == "blank", "blank").when(hit, "limit").otherwise("ending")
+    plain = placed.where(clear).select("doc_id", "source", "kind", "at_limit", (hit | F.col("kind").isin("open", "broken")).alias("cut"), step.alias("step"))
     total = read.where("doc_id IS NOT NULL AND first").agg(F.greatest(F.lit(LEAST), F.ceil(F.count(F.lit(1)) * F.lit(SHARE))).alias("common"))
     forms = read.where("doc_id IS NULL").groupBy("form").agg(F.sum("n").alias("seen"))
     words = forms.where(F.col("form").startswith("word ")).select(F.concat(F.lit("tag "), F.substring("form", 6, 1 << 20)).alias("form"), F.col("seen").alias("as_word"))
-    asked = docs.where("form IS NOT NULL").select("form").distinct()
-    known = asked.join(forms, "form", "left").join(words, "form", "left").select("form", (F.coalesce("seen", F.lit(0)) + F.coalesce("as_word", F.lit(0))).alias("seen"))
-    # Only endings that could be either need to know whether their text sits at a limit; copies of a whole text make none.
-    unsure = docs.select("doc_id", F.col("source").alias("d_source"), F.posexplode("lens").alias("d_e", "d_length"))
-    limits = storage_limits(read, different=True).select("source", "e", "length")
-    met = F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_e") == F.col("e")) & (F.col("d_length") == F.col("length"))
-    at = unsure.join(limits, met, "left_semi").select("doc_id").distinct().withColumn("at_limit", F.lit(True))
-    out = docs.join(known, "form", "left").join(at, "doc_id", "left").crossJoin(F.broadcast(total))
+    asked = placed.where(~clear)
+    known = asked.select("form").distinct().join(forms, "form", "left").join(words, "form", "left").select("form", (F.coalesce("seen", F.lit(0)) + F.coalesce("as_word", F.lit(0))).alias("seen"))
     common = F.coalesce("seen", F.lit(0)) - F.col("n") >= F.col("common")
-    hit = F.coalesce("at_limit", F.lit(False))
-    cut = F.when(F.col("kind") == "value", hit).otherwise(~common | hit)
-    return plain.unionByName(out.select("doc_id", "source", "kind", hit.alias("at_limit"), cut.alias("cut")))
+    out = asked.join(known, "form", "left").crossJoin(F.broadcast(total))
+    return plain.unionByName(out.select("doc_id", "source", "kind", "at_limit", (~common).alias("cut"), F.lit("corpus").alias("step")))

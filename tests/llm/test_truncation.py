@@ -94,3 +94,21 @@ def test_a_limit_decides_for_common_endings(spark):
     read = tr.readings(df, "doc_id", "text", "source")
     assert ("limited", size) in {(r["source"], r["length"]) for r in tr.storage_limits(read).collect()}
     assert {r["doc_id"] for r in tr.judged(read).where("cut").collect()} == set(range(20))
+
+
+def test_every_limit_of_a_source_and_what_decides(spark):
+    """A source that stores titles as 300 characters and bodies as 400 JSON characters; both show, in their own encodings."""
+    rows = []
+    for i in range(40):
+        rows.append((i, (f"{i:03d} " + "word " * 80)[:300], "two"))
+        t = f"{i:03d} " + 'said "so" ' * i + "plain words " * 40
+        while tr.lengths(t)[5] > 400:
+            t = t[:-1]
+        rows.append((100 + i, t if tr.lengths(t)[5] == 400 else t + "x", "two"))
+        rows.append((200 + i, "The group copied files. " * (20 + i), "two"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    read = tr.readings(df, "doc_id", "text", "source")
+    assert {(r["encoding"], r["length"]) for r in tr.storage_limits(read, different=True).collect()} == {("chars", 300), ("json", 400)}
+    got = {r["doc_id"]: r for r in tr.judged(read).collect()}
+    assert all(got[i]["step"] == "limit" and got[i]["cut"] and got[i]["at_limit"] for i in (*range(40), *range(100, 140)))
+    assert all(got[i]["step"] == "ending" and not got[i]["cut"] for i in range(200, 240))
