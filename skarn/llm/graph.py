@@ -1,7 +1,8 @@
 """The most similar vectors of every vector by robust-pruned directed graphs.
 
-Vectors are routed to the two nearest of a set of centres (fitted on a bounded sample); what a centre gets is a shard. In
-each shard a directed graph is built: greedy searches of the graph so far propose neighbours for the next
+Vectors are routed to the two nearest of a set of centres, found through a hierarchy of two levels (fitted on a bounded
+sample that grows with the centres); what a centre gets is a shard, whose size stays the same as the table grows. In
+each shard a directed graph is built from its first node on: greedy searches of the graph so far propose neighbours for the next
 points, a relaxed distance test keeps edges of diverse directions, reverse edges are added and pruned likewise. Then a beam search
 runs for every vector in each shard it is in, all vectors of a block in step, so that every step is a few array operations. The
 candidates are scored again in double precision and the shards' lists merged.
@@ -13,6 +14,7 @@ random into parts; each of its vectors is a node of one part and is searched for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +25,20 @@ from pyspark.sql.window import Window as W
 
 from skarn.runtime import checkpointed, need
 
-#: Different vectors in the sample that the centres are fitted on.
-SAMPLE = 20_000
+#: Different vectors in the sample that the centres are fitted on: at least SAMPLE, else SAMPLE_PER for every centre.
+SAMPLE, SAMPLE_PER = 20_000, 20
 #: Rows per centre while the square root of the rows asks for more centres than that.
 PER_CENTRE = 2000
-#: Most centres, and most nodes of one graph.
-MAX_CENTRES, MAX_SHARD = 4096, 60_000
+#: Most centres, and most nodes of one graph. Up to 1.3e9 rows there are enough centres for shards of MAX_SHARD.
+MAX_CENTRES, MAX_SHARD = 65_536, 60_000
+#: Groups of centres that a vector's nearest centres are looked for in.
+BRANCHES = 8
 #: Out-edges per node, slots before a node is pruned again, and the factor of the relaxed distance test.
 DEGREE, SLOTS, RELAX = 28, 44, 1.02
 #: Kept candidates of a search, nodes expanded per step, steps when building, when querying and when going on, entry points.
 BEAM, WIDTH, BUILD_STEPS, QUERY_STEPS, AGAIN_STEPS, ENTRIES = 64, 8, 2, 3, 2, 48
-#: Nodes that are compared with every query: where searches enter.
-TOP = 2048
+#: Nodes among which a search picks where it enters, at most.
+TOP = 256
 #: Found neighbours that a node passes on.
 LISTED = 24
 #: Queries that are searched for in step.
@@ -69,6 +73,42 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nda
     return c[keep]
 
 
+class Centres:
+    """Centres in two levels: about the square root of ``k`` groups, each with centres by its share of the sample."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.top = fit_centres(x, max(1, round(k**0.5)))
+        group = np.argmax(x @ self.top.T, axis=1)
+        parts = []
+        for g in range(len(self.top)):
+            own = x[group == g]
+            parts.append(fit_centres(own, max(1, round(k * len(own) / len(x)))) if len(own) else self.top[g : g + 1])
+        self.all = np.concatenate(parts)
+        self.ends = np.cumsum([len(p) for p in parts])
+
+    def __len__(self) -> int:
+        return len(self.all)
+
+    def nearest(self, x: np.ndarray, copies: int) -> np.ndarray:
+        """The ``copies`` nearest centres of every row, in no order, among those of its BRANCHES nearest groups."""
+        b = min(BRANCHES, len(self.top))
+        groups = np.argpartition(-(x @ self.top.T), b - 1, axis=1)[:, :b]
+        ids, sims = np.full((len(x), copies), -1, np.int64), np.full((len(x), copies), -np.inf, np.float32)
+        row, _ = np.divmod(np.argsort(groups.ravel(), kind="stable"), b)
+        ends = np.cumsum(np.bincount(groups.ravel(), minlength=len(self.top)))
+        for g in range(len(self.top)):
+            r = row[ends[g - 1] if g else 0 : ends[g]]
+            if len(r):
+                first = self.ends[g - 1] if g else 0
+                s = x[r] @ self.all[first : self.ends[g]].T
+                both = np.concatenate([sims[r], s], 1)
+                names = np.concatenate([ids[r], np.broadcast_to(np.arange(first, self.ends[g]), s.shape)], 1)
+                keep = np.argpartition(-both, copies - 1, axis=1)[:, :copies]
+                sims[r], ids[r] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
+        # Groups of few centres may leave places open: the nearest centre stands in, and the row goes there once more.
+        return np.where(ids >= 0, ids, ids.max(axis=1, keepdims=True))
+
+
 class ShardGraph:
     """A robust-pruned directed graph over the rows of a matrix of unit vectors."""
 
@@ -79,32 +119,19 @@ class ShardGraph:
         self.used = np.zeros(n, np.int32)
         #: each node's best candidates from its insertion: where its own search goes on from
         self.near = np.full((n, BEAM), -1, np.int32)
-        self.top = min(n, TOP)
-        self._insert_first()
-        done = self.top
+        done = 1
         while done < n:
             step = min(n - done, done)
             for a in range(done, done + step, BLOCK):
                 block = np.arange(a, min(a + BLOCK, done + step))
-                ids, sims = self.search(self.x[block], self._entries(block), BUILD_STEPS, done)
+                ids, sims = self.search(self.x[block], self._entries(self.x[block], done), BUILD_STEPS, done)
                 self.near[block] = ids
                 self._link(block, ids, sims)
             done += step
 
-    def _insert_first(self) -> None:
-        first = self.x[: self.top]
-        for a in range(0, self.top, BLOCK):
-            block = np.arange(a, min(a + BLOCK, self.top))
-            s = self.x[block] @ first.T
-            s[np.arange(len(block)), block] = -np.inf
-            ids, sims = _best(np.broadcast_to(np.arange(self.top, dtype=np.int32), s.shape), s, BEAM)
-            self.near[block] = ids
-            keep = self._prune(ids, sims)
-            self.edges[block, : keep.shape[1]] = keep
-            self.used[block] = (keep >= 0).sum(1)
-
-    def _entries(self, block: np.ndarray) -> np.ndarray:
-        s = self.x[block] @ self.x[: self.top].T
+    def _entries(self, q: np.ndarray, n: int) -> np.ndarray:
+        """Where searches among the first n nodes enter: the ENTRIES nearest of the first TOP."""
+        s = q @ self.x[: min(n, TOP)].T
         return np.argpartition(-s, min(ENTRIES, s.shape[1]) - 1, axis=1)[:, :ENTRIES].astype(np.int32)
 
     def search(self, q: np.ndarray, start: np.ndarray, steps: int, n: int, own: np.ndarray | None = None, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +263,7 @@ class ShardGraph:
         out = []
         for a in range(0, len(q), BLOCK):
             part = q[a : a + BLOCK]
-            s = part @ self.x[: self.top].T
-            start = np.argpartition(-s, min(ENTRIES, s.shape[1]) - 1, axis=1)[:, :ENTRIES].astype(np.int32)
-            ids, sims = self.search(part, start, BUILD_STEPS + QUERY_STEPS, len(self.x))
+            ids, sims = self.search(part, self._entries(part, len(self.x)), BUILD_STEPS + QUERY_STEPS, len(self.x))
             out.append(_best(ids, sims, k)[0])
         return np.concatenate(out) if out else np.empty((0, k), np.int32)
 
@@ -289,6 +314,13 @@ def _hashes(q: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+def _stirred(h: np.ndarray) -> np.ndarray:
+    """Hashes spread evenly over the 64-bit numbers (the finalizer of a public mixer)."""
+    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
 def _tied(q: np.ndarray, base: np.ndarray, by_id: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
     """For every row of q the first k + 1 nodes in the order ``by_id`` whose rounded cosine is at least its level; -1 where there are fewer."""
     out = np.full((len(q), k + 1), -1, np.int64)
@@ -386,12 +418,28 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
     need(df, id_col, vector)
     rows = df.where(usable(F.col(vector), dim)).select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("vec"))
 
+    # The centres are fitted on different vectors: those whose direction has a small hash, one row of a direction in a task.
+    n_rows = df.count()
+    want = min(MAX_CENTRES, max(1, round(min(n_rows / PER_CENTRE, n_rows**0.5 / 5)), math.ceil(3 * n_rows / MAX_SHARD)))
+    size = max(SAMPLE, SAMPLE_PER * want)
+    drawn_below = min(1.0, 1.5 * size / max(n_rows, 1)) * 2.0**64
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            h = _hashes(_direction(_matrix(b.column(1), dim)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "h1", "h2"])
-
-    keys = checkpointed(rows.mapInArrow(hashed, "id bigint, h1 bigint, h2 bigint"))
+            x = _matrix(b.column(1), dim)
+            h = _hashes(_direction(x))
+            drawn = np.flatnonzero(_stirred(h[:, 0]) < drawn_below)
+            take = np.zeros(len(h), bool)
+            for i in drawn.tolist():
+                if (key := int(h[i, 0])) not in seen:
+                    seen.add(key)
+                    take[i] = True
+            vec = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take * dim)]).astype(np.int32)), pa.array(_unit(x[take]).astype(np.float32).ravel(), pa.float32()), mask=pa.array(~take))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), vec], names=["id", "h1", "h2", "vec"])
+
+    written = checkpointed(rows.mapInArrow(hashed, "id bigint, h1 bigint, h2 bigint, vec array<float>"))
+    keys = written.select("id", "h1", "h2")
     n = keys.count()
     # At most HOT_SHARE classes can hold more than this many rows each.
     most = max(HOT, n // HOT_SHARE)
@@ -404,27 +452,24 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
     known = hot.join(least, "rep").select("h1", "h2", "rep", "more").orderBy("h1").collect()
     hot_h1, hot_h2, hot_rep = (np.array([r[i] for r in known], np.int64) for i in range(3))
     hot_more = [r["more"] for r in known]
-
-    # The centres are fitted on different vectors: a class of copies counts once. Only about 1.5 * SAMPLE classes with small
-    # hashes are ordered, however many tasks read them.
-    n_classes, n_sent = classes.agg(F.count(F.lit(1)), F.sum(F.when(F.col("c") > most, 1).otherwise(F.col("c")))).first()
-    spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 40))
-    few = classes.select("rep", "c", spread.alias("h")).where(F.col("h") <= int(min(1.0, 1.5 * SAMPLE / max(n_classes, 1)) * (1 << 40)))
-    few = checkpointed(few.orderBy("h").limit(SAMPLE))
-    drawn = rows.join(F.broadcast(few), F.col("id") == F.col("rep")).orderBy("h").select("vec", F.when(F.col("c") > most, 1).otherwise(F.col("c")).alias("c")).toArrow()
-    sample, weight = (_matrix(drawn.column(0), dim), drawn.column(1).to_numpy()) if n else (np.empty((0, dim)), np.empty(0))
     schema = "id bigint, near array<struct<sim: double, neighbour: bigint>>"
-    if not len(sample):
+    if not n:
         return df.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
-    sample = _unit(sample).astype(np.float32)
-    count = int(min(MAX_CENTRES, max(1, round(min(n_sent / PER_CENTRE, n_sent**0.5 / 5))), len(sample)))
-    centres = fit_centres(sample, count)
+    # About 1.5 times the sample's size at most, whatever the number of rows.
+    drawn = written.where("vec IS NOT NULL").select("h1", "vec").toArrow()
+    h1, at = np.unique(drawn.column(0).to_numpy(), return_index=True)
+    at = at[np.argsort(_stirred(h1))][:size]
+    sample = _matrix(drawn.column(1), dim)[at] if len(at) else np.empty((0, dim), np.float32)
+    n_sent = n - classes.where(F.col("c") > most).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0]
+    centres = Centres(sample, int(min(want, len(sample)))) if len(sample) else Centres(np.eye(1, dim, dtype=np.float32), 1)
     copies = min(2, len(centres))
-    # The sample's share of the rows sent says in how many parts a shard is split; the split changes cost, not results.
-    near = np.argpartition(-(sample @ centres.T), copies - 1, axis=1)[:, :copies]
-    parts = np.maximum(1, np.ceil(np.bincount(near.ravel(), np.repeat(weight, copies), minlength=len(centres)) / weight.sum() * n_sent / MAX_SHARD)).astype(np.int64)
+    # The rows that a centre gets say in how many parts its shard is split; the split changes cost, not results.
+    near = centres.nearest(sample, copies) if len(sample) else np.zeros((1, 1), np.int64)
+    parts = np.maximum(1, np.ceil(np.bincount(near.ravel(), minlength=len(centres)) / max(1, len(sample)) * n_sent / MAX_SHARD)).astype(np.int64)
+    routes = df.sparkSession.sparkContext.broadcast((centres, parts, hot_h1, hot_h2, hot_rep, hot_more))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, parts, hot_h1, hot_h2, hot_rep, hot_more = routes.value
         for b in batches:
             q = _direction(_matrix(b.column(1), dim))
             ids = b.column(0).to_numpy()
@@ -438,8 +483,10 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
                 b, q, ids = b.take(pa.array(stay)), q[stay], ids[stay]
             more = pa.array(lists, pa.list_(pa.int64()))
             x = (q / STEPS).astype(np.float32)
-            to = np.argpartition(-(x @ centres.T), copies - 1, axis=1)[:, :copies].astype(np.int32).ravel()
-            src = np.repeat(np.arange(len(ids)), copies)
+            to = centres.nearest(x, copies)
+            once = np.ones(to.shape, bool)
+            once[:, 1:] = to[:, 1:] != to[:, :1]
+            src, to = np.nonzero(once)[0], to[once].astype(np.int32)
             times = parts[to]
             at = np.repeat(np.arange(len(to)), times)
             part = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
