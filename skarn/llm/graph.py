@@ -27,8 +27,8 @@ from skarn.runtime import checkpointed, need
 
 #: Different vectors in the sample that the centres are fitted on: at least SAMPLE, else SAMPLE_PER for every centre.
 SAMPLE, SAMPLE_PER = 20_000, 20
-#: Rows per centre while the square root of the rows asks for more centres than that.
-PER_CENTRE = 2000
+#: Rows per centre while the square root of the rows over ROOT asks for more centres than that.
+PER_CENTRE, ROOT = 2000, 5
 #: Most centres, and most nodes of one graph. Up to 1.3e9 rows there are enough centres for shards of MAX_SHARD.
 MAX_CENTRES, MAX_SHARD = 65_536, 60_000
 #: Groups of centres that a vector's nearest centres are looked for in.
@@ -36,7 +36,7 @@ BRANCHES = 8
 #: Out-edges per node, slots before a node is pruned again, and the factor of the relaxed distance test.
 DEGREE, SLOTS, RELAX = 28, 44, 1.02
 #: Kept candidates of a search, nodes expanded per step, steps when building, when querying and when going on, entry points.
-BEAM, WIDTH, BUILD_STEPS, QUERY_STEPS, AGAIN_STEPS, ENTRIES = 64, 8, 2, 3, 2, 48
+BEAM, WIDTH, BUILD_STEPS, QUERY_STEPS, AGAIN_STEPS, ENTRIES = 64, 10, 2, 3, 2, 48
 #: Nodes among which a search picks where it enters, at most.
 TOP = 256
 #: Found neighbours that a node passes on.
@@ -420,9 +420,9 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
 
     # The centres are fitted on different vectors: those whose direction has a small hash, one row of a direction in a task.
     n_rows = df.count()
-    want = min(MAX_CENTRES, max(1, round(min(n_rows / PER_CENTRE, n_rows**0.5 / 5)), math.ceil(3 * n_rows / MAX_SHARD)))
+    want = min(MAX_CENTRES, max(1, round(min(n_rows / PER_CENTRE, n_rows**0.5 / ROOT)), math.ceil(3 * n_rows / MAX_SHARD)))
     size = max(SAMPLE, SAMPLE_PER * want)
-    drawn_below = min(1.0, 1.5 * size / max(n_rows, 1)) * 2.0**64
+    drawn_below = min(1.0, size / max(n_rows, 1)) * 2.0**64
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -455,10 +455,10 @@ def similar_vectors(df: DataFrame, id_col: str, vector: str, dim: int, k: int =
     schema = "id bigint, near array<struct<sim: double, neighbour: bigint>>"
     if not n:
         return df.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
-    # About 1.5 times the sample's size at most, whatever the number of rows.
+    # About the sample's size, whatever the number of rows.
     drawn = written.where("vec IS NOT NULL").select("h1", "vec").toArrow()
     h1, at = np.unique(drawn.column(0).to_numpy(), return_index=True)
-    at = at[np.argsort(_stirred(h1))][:size]
+    at = at[np.argsort(_stirred(h1))]
     sample = _matrix(drawn.column(1), dim)[at] if len(at) else np.empty((0, dim), np.float32)
     n_sent = n - classes.where(F.col("c") > most).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0]
     centres = Centres(sample, int(min(want, len(sample)))) if len(sample) else Centres(np.eye(1, dim, dtype=np.float32), 1)
