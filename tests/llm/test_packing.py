@@ -23,6 +23,25 @@ def test_plan_uses_all_and_never_overfills():
         packing.harmonic_plan({11: 1}, 10)
 
 
+def test_bins_hold_the_fixed_number_of_their_class():
+    """All bins but the last open ones are opened by k items of class k."""
+    r = random.Random(3)
+    counts = {n: 1000 for n in r.sample(range(1, 2048), 300)}
+    plan = packing.harmonic_plan(counts, 2048)
+    own = sum(t for t, kind in plan if kind[0][1] == 2048 // kind[0][0])
+    assert own / sum(t for t, _ in plan) > 0.99
+
+
+def test_intervals_stay_in_their_class(spark):
+    from pyspark.sql import functions as F
+
+    for cap in (1, 5, 100, 2048, 1_000_000):
+        df = spark.range(1, min(cap, 3000) + 1).select(((F.col("id") * 7919) % cap + 1).alias("n"))
+        got = df.select("n", packing.interval(F.col("n"), cap).alias("u")).collect()
+        assert all(x["n"] <= x["u"] <= cap and cap // x["n"] == cap // x["u"] and x["u"] - x["n"] <= x["n"] / packing.FINE for x in got)
+        assert len({x["u"] for x in got}) <= packing.FINE * 16
+
+
 def run(spark, sizes, cap):
     df = spark.createDataFrame([(i, n, 1) for i, n in sizes], "doc_id bigint, n bigint, fill int")
     return packing.pack(df, "doc_id", "n", cap).collect()
@@ -56,3 +75,11 @@ def test_equal_lengths_and_empty(spark):
     out = run(spark, [(i, 34) for i in range(1000)], 100)
     assert sorted(c["fill"] for c in out) == [68] * 500
     assert run(spark, [], 100) == []
+
+
+def test_hot_lengths_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    out = run(spark, [(i, 34 if i % 3 else 250) for i in range(900)], 100)
+    assert sum(c["fill"] for c in out) == 600 * 34 + 300 * 250
+    assert sorted(c["fill"] for c in out if len(c["pieces"]) == 1 and c["fill"] == 100) == [100] * 600
+    assert len({c["container_id"] for c in out}) == len(out)
