@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,17 +208,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
         yield pa.concat_arrays(keys), texts
 
 
+def _sent(df: DataFrame, path: str | None) -> str:
+    """Send the vocabulary's file to all executors; only the driver needs to have it."""
+    path = path or tokenizer_file()
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode_corpus(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
     """``id_col, ids``: the token ids of every row's text, without special tokens (their strings are ordinary text).
 
     A null text has null, an empty one an empty list. Texts are whole, however long; duplicate rows are encoded each.
     """
     need(df, id_col, text)
-    path = path or tokenizer_file()
+    file = _sent(df, path)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = CorpusEncoder(path)
+        enc = CorpusEncoder(SparkFiles.get(file))
         for keys, texts in _chunks(batches):
             ids, off = enc.encode([t or "" for t in texts])
             # A list array's offsets are 32-bit, and so are a batch's bytes: hand on parts of at most 2**24 ids.
@@ -236,11 +244,11 @@ def encode_corpus(df: DataFrame, id_col: str, text: str, path: str | None = None
 def token_counts(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
     """``id_col, n_tokens``: null for a null text, 0 for an empty one."""
     need(df, id_col, text)
-    path = path or tokenizer_file()
+    file = _sent(df, path)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = CorpusEncoder(path)
+        enc = CorpusEncoder(SparkFiles.get(file))
         for keys, texts in _chunks(batches):
             n = enc.count([t or "" for t in texts])
             mask = np.array([t is None for t in texts], bool)
