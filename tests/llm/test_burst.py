@@ -51,3 +51,37 @@ def test_marks(spark):
     f = spark.createDataFrame([("d", "a", 9, 4), ("d", "b", 9, 5), ("d", "c", 30, 10), ("d", "e", 30, 11)], "dataset string, term string, occurrences bigint, records bigint")
     n = spark.createDataFrame([("d", 100)], "dataset string, n_rows bigint")
     assert {r["term"]: r["mark"] for r in burst.mark_frequencies(f, n).collect()} == {"a": "rare", "b": None, "c": None, "e": "common"}
+
+
+def test_subtrees_of_different_depth_merge():
+    import random
+
+    r = random.Random(2)
+    terms = ["".join(r.choice("abc") for _ in range(r.randint(0, 7))) for _ in range(3000)]
+    whole, parts = burst.BurstTrie(4), [burst.BurstTrie(b) for b in (1, 3, 50, 4000)]
+    for i, t in enumerate(terms):
+        whole.add(t, 2, 1)
+        parts[i % 4].add(t, 2, 1)
+    merged = burst.BurstTrie(4)
+    leaves = [x for p in parts for x in p.leaves()]
+    r.shuffle(leaves)
+    for prefix, box in leaves:
+        merged.graft(prefix, {k: list(c) for k, c in box.items()})
+    assert sorted(merged.items()) == sorted(whole.items())
+
+
+def test_routes_split_heavy_prefixes():
+    got = burst.routes({"T1": 50, "T2": 5, "T10": 60, "S": 3}, 40)
+    assert got == {"", "T", "S", "T1", "T2", "T10"}
+    assert burst.routes({"a": 1}, 10) == {""} and burst.routes({}, 1) == {""}
+
+
+def test_many_routes(spark, monkeypatch):
+    monkeypatch.setattr(burst, "ROUTES", 40)
+    monkeypatch.setattr(burst, "BURST", 3)
+    data = [("d", [f"T{(i * j) % 997}", "T", ""]) for i in range(300) for j in range(3)]
+    got = rows(burst.term_frequencies(spark.createDataFrame(data, "dataset string, terms array<string>").repartition(6), "dataset", "terms"))
+    from collections import Counter
+
+    want = Counter(t for _, ts in data for t in ts)
+    assert {t: o for (_, t), (o, _) in got.items()} == want
