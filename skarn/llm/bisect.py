@@ -108,8 +108,9 @@ def split_texts(df: DataFrame, id_col: str, text: str, limit: int = 1200, overla
     """The pieces of every text longer than ``limit`` characters (code points).
 
     Texts within the limit, empty and null ones have no rows. Duplicate rows are split each. Returns ``id_col``,
-    ``piece_no`` (from 0), ``start_char``, ``core_char``, ``end_char``, ``piece`` and ``forced``: whether the piece
-    starts inside a word. The cores put end to end are the text itself.
+    ``piece_no`` (from 0), ``start_char``, ``core_char``, ``end_char``, ``piece``, ``forced``: whether the piece
+    starts inside a word, and ``unbroken``: whether its text has a run above the limit without whitespace (which is cut
+    at ideographic full stops where it has any). The cores put end to end are the text itself.
     """
     need(df, id_col, text)
     if not 0 <= overlap < limit:
@@ -118,8 +119,11 @@ def split_texts(df: DataFrame, id_col: str, text: str, limit: int = 1200, overla
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, a, c, b, t[a:b], f) for i, t in zip(pdf["_id"], pdf["_text"], strict=True) for k, (a, c, b, f) in enumerate(pieces(t, limit, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "piece_no", "start_char", "core_char", "end_char", "piece", "forced"])
+            rows = []
+            for i, t in zip(pdf["_id"], pdf["_text"], strict=True):
+                unbroken = max(map(len, t.split()), default=0) > limit
+                rows += [(i, k, a, c, b, t[a:b], f, unbroken) for k, (a, c, b, f) in enumerate(pieces(t, limit, overlap))]
+            yield pd.DataFrame(rows, columns=[id_col, "piece_no", "start_char", "core_char", "end_char", "piece", "forced", "unbroken"])
 
     long = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.length(text) > limit)
-    return long.mapInPandas(cut, f"`{id_col}` {kind}, piece_no int, start_char int, core_char int, end_char int, piece string, forced boolean")
+    return long.mapInPandas(cut, f"`{id_col}` {kind}, piece_no int, start_char int, core_char int, end_char int, piece string, forced boolean, unbroken boolean")

@@ -100,7 +100,7 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    cut = F.when(F.max("forced"), "forced").otherwise("natural")
+    cut = F.when(F.max("unbroken"), "forced").otherwise("natural")
     return p5_pieces(spark, d).groupBy("rag_id").agg(cut.alias("cut"))
 
 

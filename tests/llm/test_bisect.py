@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from skarn.llm import bisect
 
 
@@ -63,3 +65,9 @@ def test_table(spark):
     assert sum(r["forced"] for r in out) == 1
     assert sum(r["end_char"] - r["core_char"] for r in out) == 2 * 1202 + 1201
     assert bisect.split_texts(df.limit(0), "id", "text").count() == 0
+
+
+def test_a_run_with_ideographic_stops_is_unbroken(spark):
+    df = spark.createDataFrame([(1, "漢字。" * 500), (2, "word " * 400)], "i bigint, t string")
+    got = {r["i"]: (r["u"], r["f"]) for r in bisect.split_texts(df, "i", "t").groupBy("i").agg(F.max("unbroken").alias("u"), F.max("forced").alias("f")).collect()}
+    assert got == {1: (True, False), 2: (False, False)}
