@@ -16,7 +16,7 @@ def regex_spans(df: DataFrame, id_col: str, text: str, patterns: Sequence[tuple[
     """``id_col, spans``: every match of every pattern with its character offsets; null texts have no row."""
     need(df, id_col, text)
     kind = dict(df.dtypes)[id_col]
-    compiled = [(k, re.compile(p, re.ASCII)) for k, p in patterns]
+    compiled = [(k, re.compile(p.replace(r"\z", r"\Z"), re.ASCII)) for k, p in patterns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -30,13 +30,13 @@ def protect(df: DataFrame, id_col: str, text: str, patterns: Sequence[tuple[str,
     """``id_col, protected, originals``: non-overlapping matches (earliest first) replaced by `` word ``; a map from new offset to original."""
     need(df, id_col, text)
     kind = dict(df.dtypes)[id_col]
-    compiled = [(k, re.compile(p, re.ASCII)) for k, p in patterns]
+    compiled = [(k, re.compile(p.replace(r"\z", r"\Z"), re.ASCII)) for k, p in patterns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, t in zip(pdf[id_col], pdf[text], strict=True):
-                hits = sorted(((m.start(), m.end(), k) for k, p in compiled for m in p.finditer(t)), key=lambda h: h[0])
+                hits = sorted(((m.start(), m.end(), k) for k, p in compiled for m in p.finditer(t)), key=lambda h: h[0])  # of equal starts the earlier kind
                 out, back, at, size = [], {}, 0, 0
                 for a, b, k in hits:
                     if a < at:

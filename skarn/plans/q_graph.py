@@ -40,10 +40,10 @@ _HOSTS = [f"www{h}" if h[0] == "." else h if "." in h else f"www.{h}.org" for h
 
 def _site(host):
     """The first rule whose name is part of the host."""
-    return F.coalesce(*[F.when(F.contains(host, F.lit(s)), F.lit(s)) for s in ht.ORDER])
+    return F.coalesce(*[F.when(F.contains(host, F.lit(s)), F.lit(s)) for s in _SITES])
 
 
-_DISPATCH = "CASE " + " ".join(f"WHEN contains(host, '{s}') THEN '{s}'" for s in ht.ORDER) + " END"
+_DISPATCH = "CASE " + " ".join(f"WHEN contains(host, '{s}') THEN '{s}'" for s in _SITES) + " END"
 _HOST_SQL = "[" + ", ".join(f"'{h}'" for h in _HOSTS) + "]"
 
 
@@ -74,9 +74,12 @@ def page_article(spark: SparkSession, d: str) -> DataFrame:
 
     body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     title = F.coalesce("title", F.lit(""))
-    layouts = [F.concat(F.lit("<html>"), opened(t, title) if t else F.lit(""), opened(b, body) if b != "html" else body, F.lit("</html>")) for _, t, b, _ in ht.SITES]
-    n = F.pmod("doc_id", F.lit(len(_SITES))).cast("int")
-    p = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.get(F.array(*map(F.lit, _SITES)), n).alias("site"), F.get(F.array(*layouts), n).alias("html"))
+    n = F.pmod("doc_id", F.lit(len(_SITES)))
+    layout = None  # only the layout of a page's own site is built
+    for i, (_, t, b, _) in enumerate(ht.SITES):
+        one = F.concat(F.lit("<html>"), opened(t, title) if t else F.lit(""), opened(b, body) if b != "html" else body, F.lit("</html>"))
+        layout = F.when(n == i, one) if layout is None else layout.when(n == i, one)
+    p = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.get(F.array(*map(F.lit, _SITES)), n.cast("int")).alias("site"), layout.alias("html"))
     return ht.extract_articles(p, "doc_id", "site", "html")
 
 

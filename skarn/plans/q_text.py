@@ -137,8 +137,13 @@ def ioc_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=f"SELECT kind, count(*) AS hits, count(DISTINCT lower(value)) AS values, count(DISTINCT doc_id) AS docs FROM ({_catalog_sql('value')}) GROUP BY kind")
 def ioc_counts(spark: SparkSession, d: str) -> DataFrame:
-    hits = docs(spark, d).select("doc_id", F.inline(ioc.indicators(F.col("text"))))
-    return hits.groupBy("kind").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct(F.lower("value")).alias("values"), F.countDistinct("doc_id").alias("docs"))
+    """Hits, different values and documents per kind: counted per value first, so that no distinct expands the hits."""
+    hits = docs(spark, d).select(ioc.indicators(F.col("text")).alias("x"))
+    none = F.lit(None).cast("string")
+    one = F.transform("x", lambda h: F.struct(h["kind"].alias("kind"), F.lower(h["value"]).alias("value"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    kinds = F.transform(F.array_distinct(F.transform("x", lambda h: h["kind"])), lambda k: F.struct(k.alias("kind"), none.alias("value"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    per = hits.select(F.inline(F.concat(one, kinds))).groupBy("kind", "value").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return per.groupBy("kind").agg(F.sum("n").alias("hits"), F.count("value").alias("values"), F.sum("d").alias("docs"))
 
 
 @query(sql=f"SELECT doc_id, unnest(regexp_extract_all(text, {_sq(ioc.PATTERN['URL'])})) AS url FROM documents WHERE text IS NOT NULL")

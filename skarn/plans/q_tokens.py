@@ -387,4 +387,4 @@ def ioc_protect(spark: SparkSession, d: str) -> DataFrame:
     from skarn.operators.strings import protect
 
     ship(spark)
-    return protect(table(spark, d, "documents"), "doc_id", "text", [(k, p) for k, p in ioc.CATALOG if k in ioc.STAND_INS], ioc.STAND_INS)
+    return protect(table(spark, d, "documents"), "doc_id", "text", [*ioc.PROTECTED, *((k, p) for k, p in ioc.CATALOG if k in ioc.STAND_INS and k != "URL")], ioc.STAND_INS)

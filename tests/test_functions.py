@@ -59,3 +59,30 @@ def test_set_scores(spark, true, pred, want):
 def test_labels_and_collapse(spark):
     assert one(spark, [" t1059.003\n", None, "", "TA0011", "T1059"], lambda c: st.collapse(st.labels(c)), "array<string>") == ["T1059", "TA0011", "T1059"]
     assert one(spark, None, st.labels, "array<string>") == []
+
+
+def test_hosts_urls_and_addresses_in_all_forms():
+    import re
+
+    from skarn.functions import indicators as ioc
+
+    def hits(kind, text):
+        return [m.group() for m in re.finditer(ioc.PATTERN[kind], text, re.ASCII)]
+
+    text = "see a-cdn[.]example[.]org/a/b?c=d, hxxps[:]//evil[.]com/p. www.site.sh x(dot)y(dot)de. run.sh lib.so a.zip ftp://1.2.3.4/x mail dot com anecdotes"
+    assert hits("URL", text) == ["a-cdn[.]example[.]org/a/b?c=d", "hxxps[:]//evil[.]com/p", "www.site.sh", "x(dot)y(dot)de", "ftp://1.2.3.4/x"]
+    six = ["1:2:3:4:5:6:7:8", "::8", "1::", "1::8", "1:2:3::7:8", "fe80::7:8%eth0", "::ffff:1.2.3.4", "64:ff9b::192.0.2.33", "2001:db8:3:4::192.0.2.33", "2001[:]db8::1", "::255.255.255.255", "1:2:3:4:5:6:192.0.2.1"]
+    assert [hits("IPv6", f"x {s} y") for s in six] == [[s] for s in six]
+    assert hits("IPv6", "at 12:30:45 std::vector") == []
+    assert ioc.top_level_domains("# list\nCOM\nxn--abc\n\nmuseum\nde") == ["museum", "com", "de"]
+
+
+def test_protection_tells_kinds_apart(spark):
+    from skarn.functions import indicators as ioc
+    from skarn.operators.strings import protect
+
+    df = spark.createDataFrame([(1, "drop.exe /q --out=x opened a.pdf from evil[.]com"), (2, None)], "i int, t string")
+    pats = [*ioc.PROTECTED, *((k, p) for k, p in ioc.CATALOG if k in ioc.STAND_INS and k != "URL")]
+    row = protect(df, "i", "t", pats, ioc.STAND_INS).collect()[0]
+    assert " ".join(row["protected"].split()) == "executable opened document from host"
+    assert sorted(row["originals"].values()) == [" /q --out=x", "a.pdf", "drop.exe", "evil[.]com"]
