@@ -111,8 +111,8 @@ PROTECTED: tuple[tuple[str, str], ...] = (
 
 # Masks in the order they are applied.
 MASKS: tuple[tuple[str, str], ...] = (
-    (r"\(?https?://[-a-zA-Z0-9@:%._+~#=]{2,256}\.[a-zA-Z0-9()]{2,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*", "[URL]"),
-    (r"\(?(?:http|hxxp)s?://[-a-zA-Z0-9@:%._+~#=]{2,256}\[?\.\]?[a-zA-Z0-9()]{2,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*", "[OBFUSCATED URL]"),
+    (r"\(?http(s)?://[-a-zA-Z0-9@:%._\+~#=]{2,256}\.[a-zA-Z0-9()]{2,6}\b([-a-zA-Z0-9()@:%_\+.~#?&//=]*)", "[URL]"),
+    (r"\(?(http|hxxp)(s)?:\/\/[-a-zA-Z0-9@:%._\+~#=]{2,256}(\[)?\.(\])?[a-zA-Z0-9()]{2,6}\b([-a-zA-Z0-9()@:%_\+.~#?&\/\/=]*)", "[OBFUSCATED URL]"),
     (r"\b(?:[0-9]{1,3}\[?\.\]?){3}[0-9]{1,3}\b", "[IP]"),
     (r"\b[A-Fa-f0-9]{32}\b|\b[A-Fa-f0-9]{40}\b|\b[A-Fa-f0-9]{64}\b", "[HASH]"),
 )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skarn.operators.strings import indel_ratio
 from skarn.runtime import checkpointed
 
-#: Most rounds of ``components``, which converges in about the logarithm of the longest path.
+#: Rounds in which ``components`` must settle (it takes about the logarithm of the longest path); else it raises an error.
 ROUNDS = 200
 
 
@@ -41,21 +41,37 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         e = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"the components didn't settle in {ROUNDS} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
 
 
+#: Hops that a round of ``distances`` goes before its result is written.
+HOPS = 16
+
+
 def distances(edges: DataFrame, src: str, dst: str, start: DataFrame) -> DataFrame:
-    """``node, hops`` from the nodes of ``start`` over undirected edges; unreachable nodes have no row."""
+    """``node, hops`` from the nodes of ``start`` over undirected edges; unreachable nodes have no row.
+
+    A round walks HOPS edges from the last front, keeps the shortest walk to each node not seen before and writes them; it ends
+    when a front is empty, so paths may be of any length.
+    """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = checkpointed(e.union(e.select(F.col("v"), F.col("u"))).distinct())
-    seen = checkpointed(start.select(F.col(start.columns[0]).alias("node"), F.lit(0).alias("hops")).distinct())
-    front = seen
-    for hop in count(1):  # ends: a front holds only nodes not seen before
-        front = checkpointed(front.join(e, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+    front = checkpointed(start.select(F.col(start.columns[0]).alias("node"), F.lit(0).alias("hops")).distinct())
+    seen = front
+    for done in count(0, HOPS):  # ends: a front holds only nodes not seen before
+        walks = step = front.select("node")
+        walks = walks.limit(0).withColumn("hops", F.lit(0))
+        for h in range(1, HOPS + 1):
+            step = step.join(e, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
+            walks = walks.unionByName(step.withColumn("hops", F.lit(done + h)))
+        new = checkpointed(walks.groupBy("node").agg(F.min("hops").alias("hops")).join(seen, "node", "left_anti"))
+        front = new.where(F.col("hops") == done + HOPS)
+        seen = checkpointed(seen.unionByName(new)) if done else seen.unionByName(new)
         if front.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+            return seen
+    raise AssertionError
 
 
 @lru_cache(maxsize=200_000)
@@ -153,13 +169,14 @@ def prune(templates: DataFrame, at_most: int = 2) -> DataFrame:
     return t.withColumn("norm", F.aggregate("nodes", F.lit(0), lambda s, n: s + n["count"]))
 
 
-def align(graph: tuple[list[dict], list[tuple[int, int]]], template: tuple[list[dict], list[tuple[int, int, int]], int], at_least: float = 0.7, most: int = 10_000, sims: list[np.ndarray] | None = None) -> float:
+def align(graph: tuple[list[dict], list[tuple[int, int]]], template: tuple[list[dict], list[tuple[int, int, int]], int], at_least: float = 0.7, sims: list[np.ndarray] | None = None) -> float:
     """Score of a graph against a template: aligned nodes and edges, weighted by their counts; actors don't count.
 
     ``sims`` may give the similarities of every graph node (outer) to every template node (inner).
 
-    Only template nodes that are similar to some node of the graph can add to the score. Where their candidates have at most ``most``
-    combinations all are tried; else the best candidates are improved one node at a time until none gains.
+    Only template nodes that are similar to some node of the graph can add to the score. The best of all combinations of their
+    candidates is found by branch and bound: a branch ends where even the best candidates of the open nodes, all
+    their edges at distance 1, can't beat the best score so far.
     """
     g_nodes, g_edges = graph
     t_nodes, t_edges, norm = template
@@ -187,34 +204,43 @@ def align(graph: tuple[list[dict], list[tuple[int, int]]], template: tuple[list[
         if e[1] != e[0]:
             touched.setdefault(e[1], []).append(e)
 
-    def edge_score(pick: dict[int, tuple[int, float]], some: list[tuple[int, int, int]]) -> float:
-        total = 0.0
-        for a, b, c in some:
-            (i, s), (j, u) = pick[a], pick[b]
-            if (i, j) in near:
-                total += c * math.sqrt(s * u) / near[i, j]
-        return total
-
-    def score(pick: dict[int, tuple[int, float]]) -> float:
-        return sum(t_nodes[a]["count"] * s for a, (_, s) in pick.items()) + edge_score(pick, edges)
-
-    # A node without edges in play takes its best candidate.
-    open_ = [a for a in cand if a in touched and len(cand[a]) > 1]
-    pick = {a: c[0] for a, c in cand.items()}
-    if math.prod(len(cand[a]) for a in open_) <= most:
-        best = max(score(pick | dict(zip(open_, combo, strict=True))) for combo in product(*(cand[a] for a in open_)))
-    else:
-        gained = True
-        while gained:
-            gained = False
-            for a in open_:
-                def local(x: tuple[int, float], a: int = a) -> float:
-                    return t_nodes[a]["count"] * x[1] + edge_score(pick | {a: x}, touched[a])
-
-                top = max(cand[a], key=local)
-                if local(top) > local(pick[a]) + 1e-12:
-                    pick[a], gained = top, True
-        best = score(pick)
+    # A node without edges in play takes its best candidate; the others are decided in order of their edges' weight.
+    base = sum(t_nodes[a]["count"] * c[0][1] for a, c in cand.items() if a not in touched)
+    order = sorted((a for a in cand if a in touched), key=lambda a: (-sum(c for *_, c in touched[a]), a))
+    place = {a: k for k, a in enumerate(order)}
+    # Each edge counts where its later node is decided; what the nodes from k on can still add at most.
+    done_at: list[list[tuple[int, int, int]]] = [[] for _ in order]
+    for a, b, c in edges:
+        done_at[max(place[a], place[b])].append((a, b, c))
+    rest = [0.0] * (len(order) + 1)
+    for k in range(len(order) - 1, -1, -1):
+        most = sum(c * math.sqrt(cand[a][0][1] * cand[b][0][1]) for a, b, c in done_at[k])
+        rest[k] = rest[k + 1] + t_nodes[order[k]]["count"] * cand[order[k]][0][1] + most
+    best = -1.0
+    pick: dict[int, tuple[int, float]] = {}
+
+    def decide(k: int, score: float) -> None:
+        nonlocal best
+        if k == len(order):
+            best = max(best, score)
+            return
+        if score + rest[k] <= best:
+            return
+        options = []
+        for x in cand[order[k]]:
+            pick[order[k]] = x
+            gain = t_nodes[order[k]]["count"] * x[1]
+            for a, b, c in done_at[k]:
+                (i, s), (j, u) = pick[a], pick[b]
+                if (i, j) in near:
+                    gain += c * math.sqrt(s * u) / near[i, j]
+            options.append((gain, x))
+        for gain, x in sorted(options, key=lambda o: (-o[0], o[1][0])):
+            pick[order[k]] = x
+            decide(k + 1, score + gain)
+        del pick[order[k]]
+
+    decide(0, base)
     return best / (norm + 1)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.runtime import need
+from skarn.runtime import checkpointed, need
 
 
 def regex_spans(df: DataFrame, id_col: str, text: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -52,21 +52,30 @@ def protect(df: DataFrame, id_col: str, text: str, patterns: Sequence[tuple[str,
     return df.where(F.col(text).isNotNull()).select(id_col, text).mapInPandas(run, f"`{id_col}` {kind}, protected string, originals map<int,string>")
 
 
-#: Names that one automaton may hold; more are matched in several passes of this size.
+#: Names that one automaton holds, about; more names are matched in several passes over the texts.
 NAMES = 200_000
 
 
 def substrings_in(df: DataFrame, id_col: str, text: str, names: DataFrame, name_id: str, name: str) -> DataFrame:
-    """``id_col, ids``: sorted ids of all names that occur as substrings. Texts without one have no row."""
+    """``id_col, ids``: sorted ids of all names that occur as substrings. Texts without one have no row; null and empty names occur nowhere.
+
+    The names are sent to the workers in slices of bounded size, one automaton each; more than a slice takes several passes.
+    """
+    names = checkpointed(names.select(F.col(name_id).alias("i"), F.col(name).alias("n")).where("n <> ''").distinct())
+    slices = max(1, -(-names.count() // NAMES))
+    parts = [_pass(df, id_col, text, names.where(F.pmod(F.xxhash64("n"), F.lit(slices)) == k)) for k in range(slices)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if slices == 1 else out.groupBy(id_col).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+
+
+def _pass(df: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
     import ahocorasick
 
-    rows = [(r[0], r[1]) for r in names.select(name_id, name).limit(NAMES + 1).collect()]
-    if len(rows) > NAMES:
-        raise ValueError(f"more than {NAMES} names: split them and union the results")
     by_name: dict[str, set[str]] = {}
-    for i, n in rows:
-        if n:
-            by_name.setdefault(n, set()).add(i)
+    for i, n in names.toLocalIterator():
+        by_name.setdefault(n, set()).add(i)
     sent = df.sparkSession.sparkContext.broadcast({n: sorted(s) for n, s in by_name.items()})
     kind = dict(df.dtypes)[id_col]
 
@@ -79,7 +88,7 @@ def substrings_in(df: DataFrame, id_col: str, text: str, names: DataFrame, name_
         for pdf in batches:
             rows = []
             for i, t in zip(pdf[id_col], pdf[text], strict=True):
-                ids = {x for _, s in auto.iter(t) for x in s} if len(auto) else set()
+                ids = {x for _, s in auto.iter(t) for x in s} if len(auto) and t else set()
                 if ids:
                     rows.append((i, sorted(ids)))
             yield pd.DataFrame(rows, columns=[id_col, "ids"])

@@ -92,6 +92,64 @@ def is_subphrase(heads: list[int], pos: list[str], nodes: list[int]) -> bool:
     return bool(tree) and all(i in nodes or pos[i] in LIGHT for i in tree)
 
 
+def subphrases(heads: list[int], pos: list[str], slots: list[list[int]]) -> list[tuple[int, ...]]:
+    """All choices of one candidate per slot whose smallest subtree has no other content word.
+
+    Decided slot by slot, rarest first. A choice is given up once its subtree holds content words that the open slots
+    can't take: every later choice would hold them too.
+    """
+    order = sorted(range(len(slots)), key=lambda k: (len(slots[k]), k))
+    later = [set().union(*(slots[j] for j in order[k:])) for k in range(len(order) + 1)]
+    out = []
+
+    def choose(k: int, chosen: list[int]) -> None:
+        if chosen:
+            tree = minimal_subtree(heads, chosen)
+            other = {i for i in tree if i not in chosen and pos[i] not in LIGHT}
+            if not tree or len(other) > len(order) - k or not other <= later[k]:
+                return
+        if k == len(order):
+            out.append(tuple(c for _, c in sorted(zip(order, chosen, strict=True))))
+            return
+        for c in slots[order[k]]:
+            choose(k + 1, [*chosen, c])
+
+    if slots:
+        choose(0, [])
+    return sorted(out)
+
+
+def match_pattern(heads: list[int], fits: list[list[int]], relations: list[tuple[int, str]]) -> list[tuple[int, ...]]:
+    """All ways to match a dependency pattern.
+
+    ``fits[k]`` lists the tokens that node k of the pattern may be; node 0 is its root, and node k > 0 stands to an earlier
+    node ``relations[k - 1] = (node, operator)``: ``>`` child, ``>>`` anywhere below, ``<`` parent, ``<<`` anywhere above it.
+    """
+    paths: dict[int, list[int]] = {}
+
+    def up(i: int) -> list[int]:
+        if i not in paths:
+            paths[i] = path_up(heads, i)
+        return paths[i]
+
+    def related(a: int, b: int, op: str) -> bool:
+        if a == b:
+            return False
+        low, high = (b, a) if op[0] == ">" else (a, b)
+        return heads[low] == high if len(op) == 1 else high in up(low)
+
+    found: list[tuple[int, ...]] = [(i,) for i in fits[0]] if fits else []
+    for k, (node, op) in enumerate(relations, 1):
+        found = [(*f, i) for f in found for i in fits[k] if related(f[node], i, op)]
+    return found
+
+
+def action_pattern(action: list[str], target: list[str]) -> tuple[list[str], list[tuple[int, str]]]:
+    """Words and relations of an action and its target: the first word of the action is the root, all others are anywhere below it."""
+    words = [*action, *target]
+    return words, [(0, ">>")] * (len(words) - 1)
+
+
 def triples(heads: list[int], deps: list[str], pos: list[str]) -> list[tuple[int, list[int], int]]:
     """Subject, verbs on the path between, object: for every subject and object of a sentence."""
     subs = [i for i, d in enumerate(deps) if "subj" in d]

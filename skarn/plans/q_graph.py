@@ -15,7 +15,7 @@ from skarn.plans import q_metrics as qm
 from skarn.plans import q_tokens as qt
 from skarn.plans.q_text import pages
 from skarn.plans.registry import query
-from skarn.runtime import ship, table
+from skarn.runtime import checkpointed, ship, table
 
 
 @query()
@@ -131,19 +131,22 @@ def subphrase(spark: SparkSession, d: str) -> DataFrame:
     m = dic.match_bags(qt.sents(spark, d), "sent_id", "l", bags).join(trees(spark, d), "sent_id")
 
     def check(sid, label, spots, heads, pos):
-        ok = [c for c in dic.combinations([list(s) for s in spots][:4]) if tr.is_subphrase(heads, pos, list(c))]
-        return [(sid, label, min(c), max(c) + 1) for c in ok]
+        return [(sid, label, min(c), max(c) + 1) for c in tr.subphrases(heads, pos, [list(s) for s in spots])]
 
     return tr.map_trees(m, ["sent_id", "label", "spots", "heads", "pos"], check, "sent_id bigint, label string, start int, end int").distinct()
 
 
-@query()
+_BELOW = "len(list_filter(range(1, 32), lambda k: (o + 1) // (1::BIGINT << k) = v + 1)) > 0"
+
+
+@query(sql=f"SELECT sent_id, v::INT AS verb, o::INT AS object FROM (SELECT sent_id, v, unnest(range(1, n, 5)) AS o FROM (SELECT sent_id, n, unnest(range(1, n, 4)) AS v FROM ({_N}))) WHERE o <> v AND {_BELOW}")
 def tree_match(spark: SparkSession, d: str) -> DataFrame:
     """A verb with an object anywhere below it."""
     ship(spark)
 
     def find(sid, heads, deps, pos):
-        return [(sid, v, o) for v in range(len(heads)) if pos[v] == "VERB" for o in range(len(heads)) if "obj" in deps[o] and tr.descends(heads, o, v)]
+        verbs, objects = [i for i, p in enumerate(pos) if p == "VERB"], [i for i, x in enumerate(deps) if "obj" in x]
+        return [(sid, *m) for m in tr.match_pattern(heads, [verbs, objects], [(0, ">>")])]
 
     return tr.map_trees(trees(spark, d), ["sent_id", "heads", "deps", "pos"], find, "sent_id bigint, verb int, object int")
 
@@ -278,20 +281,22 @@ def template_prune(spark: SparkSession, d: str) -> DataFrame:
     return gr.prune(t).select("technique", "nodes", "norm")
 
 
-#: Templates that are aligned at once: a table with one row per technique, cut off never but checked.
+#: Templates that a worker holds at once; more take several passes over the graphs.
 TEMPLATES = 5000
 
 
 @query()
 def graph_align(spark: SparkSession, d: str) -> DataFrame:
     """Techniques that the graph of a sentence reaches a score of 0.9 with."""
-    pruned = gr.prune(templates(spark, d))
-    rows = pruned.limit(TEMPLATES + 1).collect()
-    if len(rows) > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates")
-    ts = [(r["technique"], ([n.asDict() for n in r["nodes"]], [tuple(e) for e in r["edges"]], r["norm"])) for r in rows]
+    pruned = checkpointed(gr.prune(templates(spark, d)))
     graphs = report_graphs(spark, d).dropDuplicates(["sent_id"]).select("sent_id", "nodes", F.transform("edges", lambda e: F.struct(e["src"], e["dst"])).alias("edges"))
-    return gr.align_all(graphs, ts, "sent_id")
+    slices = max(1, -(-pruned.count() // TEMPLATES))
+    out = None
+    for k in range(slices):
+        rows = pruned.where(F.pmod(F.xxhash64("technique"), F.lit(slices)) == k).collect()
+        one = gr.align_all(graphs, [(r["technique"], ([n.asDict() for n in r["nodes"]], [tuple(e) for e in r["edges"]], r["norm"])) for r in rows], "sent_id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _FLAG = f"""

@@ -118,14 +118,14 @@ def multilabel_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Label sets: the most wanted 10 and 25 categories, and all of them.
-_SETS = "SELECT s.set_name, list(category ORDER BY target_share DESC, category) AS members FROM (SELECT *, row_number() OVER (ORDER BY target_share DESC, category) AS rn FROM label_targets WHERE category <> 'NO_TTP'), (VALUES ('top10', 10), ('top25', 25), ('all', 1000)) AS s(set_name, k) WHERE rn <= k GROUP BY s.set_name"
+_SETS = "SELECT s.set_name, list(category ORDER BY target_share DESC, category) AS members FROM (SELECT *, row_number() OVER (ORDER BY target_share DESC, category) AS rn FROM label_targets WHERE category <> 'NO_TTP'), (VALUES ('top10', 10), ('top25', 25), ('all', 1000000000)) AS s(set_name, k) WHERE rn <= k GROUP BY s.set_name"
 
 
 def label_sets(spark: SparkSession, d: str) -> DataFrame:
     """``set_name, members``: three rows made of the table of targets, which has a fixed small size."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("target_share")).alias("k"), "category")))
     one = table(spark, d, "label_targets").where("category <> 'NO_TTP'").agg(F.transform(order, lambda x: x["category"]).alias("all"))
-    cut = F.array(*[F.struct(F.lit(n).alias("set_name"), F.slice("all", 1, k).alias("members")) for n, k in (("top10", 10), ("top25", 25), ("all", 1000))])
+    cut = F.array(*[F.struct(F.lit(n).alias("set_name"), F.slice("all", 1, k).alias("members")) for n, k in (("top10", 10), ("top25", 25), ("all", 2**31 - 1))])
     return one.select(F.inline(cut))
 
 

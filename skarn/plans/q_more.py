@@ -64,7 +64,13 @@ def number_words(spark: SparkSession, d: str) -> DataFrame:
     return qt.sents(spark, d).where(F.size("l") > 0).select("sent_id", F.size("l").cast("bigint").alias("words"), n.cast("bigint").alias("numbers"))
 
 
-@query()
+@query(
+    sql=f"""
+WITH RECURSIVE s AS (SELECT sent_id, k[1] AS x, k[-1] AS y FROM (SELECT sent_id, list_filter(range(1, len(l) + 1), lambda i: length(l[i]) >= 8) AS k FROM ({qt.SENT})) WHERE len(k) >= 2),
+t AS (SELECT sent_id, x, y, x AS a, y AS b, 1 AS n FROM s UNION ALL SELECT sent_id, x, y, CASE WHEN a > b THEN a // 2 ELSE a END, CASE WHEN a > b THEN b ELSE b // 2 END, n + 1 FROM t WHERE a <> b)
+SELECT sent_id, (a - 1)::INT AS start, greatest(x, y)::INT AS "end", n::INT AS size FROM t WHERE a = b
+"""
+)
 def min_subtrees(spark: SparkSession, d: str) -> DataFrame:
     """The smallest subtree that holds the first and the last long word of a sentence."""
     ship(spark)

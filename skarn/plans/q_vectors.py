@@ -26,7 +26,7 @@ def _asked():
 def nearest(spark: SparkSession, d: str, k: int, metric: str = "euclidean", group: str | None = None) -> DataFrame:
     """Every row whose id is divisible by 100 against all rows."""
     ship(spark)
-    return ov.exact_knn(table(spark, d, "embeddings"), "vec_id", "embedding", _asked(), k, metric, group)
+    return ov.exact_knn(table(spark, d, "embeddings"), "vec_id", "embedding", _asked(), k, 64, metric, group)
 
 
 @query(sql=f"SELECT query, rank, neighbour, distance FROM ({_near(_DIST, '', 5)})")

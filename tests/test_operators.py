@@ -89,7 +89,7 @@ def test_exact_knn_in_several_passes(spark, monkeypatch):
     x = rng.normal(size=(60, 4)).round(2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [1.0])], "id int, v array<double>")
     got = {}
-    for r in ov.exact_knn(df, "id", "v", F.col("id") % 5 == 0, 3).collect():
+    for r in ov.exact_knn(df, "id", "v", F.col("id") % 5 == 0, 3, 4).collect():
         got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
     assert set(got) == {i for i in range(60) if i % 5 == 0}
     for q, near in got.items():
@@ -151,7 +151,6 @@ def test_templates_and_alignment():
     assert [n["count"] for n in nodes] == [3, 3] and edges == {(0, 1): 3} and total == 3
     t = (nodes, [(0, 1, 3)], 6)
     assert gr.align(g, t) == pytest.approx((3 * 1.4 * 2 + 3 * 1.4) / 7)
-    assert gr.align(g, t, most=0) == pytest.approx(gr.align(g, t))
     assert gr.align(([node("actor", "x")], []), ([node("actor", "x")], [], 0)) == 0
     assert gr.contract([node("a", "x", ["1.2"]), node("a", "y", ["1.2"]), node("a", "x", ["9"])]) == [[0, 1], [2]]
 
@@ -202,3 +201,82 @@ def test_distances_of_a_chain_longer_than_the_rounds(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "a int, b int")
     got = graphs.distances(edges, "a", "b", spark.createDataFrame([(0,)], "n int"))
     assert {r["node"]: r["hops"] for r in got.collect()} == {i: i for i in range(7)}
+
+
+def test_alignment_is_the_best_of_all_combinations():
+    from itertools import product
+
+    r = random.Random(4)
+
+    def node(kind, words, c=1):
+        return {"type": kind, "ioc": [], "nlp": words, "count": c}
+
+    for _ in range(30):
+        g_nodes = [node(r.choice("ab"), [r.choice(["load", "loads", "run", "ran", "drop"])]) for _ in range(6)]
+        g_edges = [(i, j) for i in range(6) for j in range(6) if i != j and r.random() < 0.25]
+        t_nodes = [node(r.choice("ab"), [r.choice(["load", "run", "drop"])], r.randint(1, 4)) for _ in range(5)]
+        t_edges = [(i, j, r.randint(1, 3)) for i in range(5) for j in range(5) if i != j and r.random() < 0.4]
+        near = {}
+        for a in range(6):
+            level, d, seen = [a], 0, {a}
+            while level:
+                d += 1
+                level = [y for x in level for p, y in g_edges if p == x and not (y in seen or seen.add(y))]
+                near.update({(a, y): d for y in level})
+        cand = {}
+        for k, t in enumerate(t_nodes):
+            own = [(i, s) for i, n in enumerate(g_nodes) if (s := gr.node_similarity(t, n)) >= 0.7]
+            if own:
+                cand[k] = own
+        best = 0.0
+        for combo in product(*cand.values()):
+            pick = dict(zip(cand, combo, strict=True))
+            score = sum(t_nodes[k]["count"] * s for k, (_, s) in pick.items())
+            for a, b, c in t_edges:
+                if a in pick and b in pick and (pick[a][0], pick[b][0]) in near:
+                    score += c * (pick[a][1] * pick[b][1]) ** 0.5 / near[pick[a][0], pick[b][0]]
+            best = max(best, score)
+        assert gr.align((g_nodes, g_edges), (t_nodes, t_edges, 6)) == pytest.approx(best / 7 if cand else 0)
+
+
+def test_long_chains_are_walked_to_the_end(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(250)], "a int, b int").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        far = gr.distances(e, "a", "b", spark.createDataFrame([(0,)], "n int"))
+        assert far.agg(F.max("hops"), F.count("hops")).first()[:] == (250, 251)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_subphrases_use_all_slots():
+    """Five and six words, against all combinations."""
+    r = random.Random(6)
+    for _ in range(60):
+        n = r.randint(6, 12)
+        heads = [0] + [r.randrange(i) for i in range(1, n)]
+        pos = [r.choice(["NOUN", "VERB", "DET", "ADP"]) for _ in range(n)]
+        slots = [r.sample(range(n), r.randint(1, 2)) for _ in range(r.choice([1, 5, 6]))]
+        assert tr.subphrases(heads, pos, slots) == sorted({c for c in dic.combinations(slots) if tr.is_subphrase(heads, pos, list(c))} | set()) or len(slots) == 0
+    # a word that occurs fifty times in each of three slots is decided slot by slot
+    heads = [max(0, i - 1) for i in range(150)]
+    assert len(tr.subphrases(heads, ["NOUN"] * 150, [list(range(0, 150, 3)), list(range(1, 150, 3)), list(range(2, 150, 3))])) > 40
+
+
+def test_dependency_patterns():
+    heads = [1, 1, 1, 2, 3]  # 1 is the root; 2 below it, 3 below 2, 4 below 3
+    assert tr.match_pattern(heads, [[1, 2], [3, 4]], [(0, ">>")]) == [(1, 3), (1, 4), (2, 3), (2, 4)]
+    assert tr.match_pattern(heads, [[1, 2], [3, 4]], [(0, ">")]) == [(2, 3)]
+    assert tr.match_pattern(heads, [[4], [1, 2], [3]], [(0, "<<"), (1, ">")]) == [(4, 2, 3)]
+    assert tr.match_pattern(heads, [[3], [2, 1]], [(0, "<")]) == [(3, 2)]
+    assert tr.action_pattern(["use", "quietly"], ["key"]) == (["use", "quietly", "key"], [(0, ">>"), (0, ">>")])
+
+
+def test_names_in_several_passes(spark, monkeypatch):
+    ship(spark)
+    names = spark.createDataFrame([(f"N{i}", f"name{i}") for i in range(20)] + [("X", None), ("Y", "")], "i string, n string")
+    t = spark.createDataFrame([(1, "has name3 and name12"), (2, None), (3, "no")], "k int, t string")
+    want = [(1, ["N1", "N12", "N3"])]
+    assert [tuple(r) for r in ss.substrings_in(t, "k", "t", names, "i", "n").collect()] == want
+    monkeypatch.setattr(ss, "NAMES", 3)
+    assert [tuple(r) for r in ss.substrings_in(t, "k", "t", names, "i", "n").collect()] == want
