@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from skarn.runtime import checkpointed
+
 
 def first_of(df: DataFrame, key: str, order: str, *keep: str) -> DataFrame:
     """The first row of each key by ``order``; a partial aggregate instead of a window, so hot keys don't hurt."""
@@ -68,13 +70,46 @@ def running_mean(df: DataFrame, order: str, value: str, width: int = 1000) -> Da
     return rows.join(before, "_b").select(order, value, ((F.col("_s0") + F.sum(value).over(inside)) / (F.col("_n0") + F.count(value).over(inside))).alias("running_mean"))
 
 
+def positions(df: DataFrame, group: str, order: str, width: int = 1000, name: str = "pos") -> DataFrame:
+    """``df`` with the position of each row in its group, from 0, by an integer column whose values differ within a group.
+
+    Ranges of ``width`` values are counted first, so only the counts of a group pass through one window; null groups are a group.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order) / width))
+    counts = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    up = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(F.col(group).alias("_g"), F.col("_b").alias("_r"), F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(group, "_b").orderBy(order)) - 1
+    ranked = rows.withColumn("_in", inside).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_r")))
+    return ranked.withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_b", "_g", "_r", "_before", "_in")
+
+
+def numbered(df: DataFrame, order: str, name: str = "idx") -> DataFrame:
+    """``df`` with the place of each row in the order of a column, from 0: ranges are sorted apart, and their sizes added up."""
+    spark = df.sparkSession
+    rows = checkpointed(df.repartitionByRange(order).sortWithinPartitions(order))
+    marked = rows.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted(tuple(r) for r in marked.groupBy("_p").agg(F.count(F.lit(1))).collect())  # a row per partition
+    first, total = [], 0
+    for p, n in sizes:
+        first.append((p, total))
+        total += n
+    starts = spark.createDataFrame(first, "_p int, _f bigint")
+    return marked.join(F.broadcast(starts), "_p").withColumn(name, F.col("_f") + F.col("_m")).drop("_p", "_m", "_f")
+
+
 def split_by_documents(df: DataFrame, doc: str, share: float, seed: int = 7) -> DataFrame:
     """Whole documents for a test split: in a seeded order while their rows stay within ``share`` of all (prefix rule)."""
     sizes = df.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
     key = F.md5(F.concat(F.col(doc), F.lit(str(seed))))
-    run = F.sum("n").over(W.orderBy(key, doc).rowsBetween(W.unboundedPreceding, 0))
-    return sizes.withColumn("upto", run).crossJoin(F.broadcast(total)).select(doc, "n", F.when(F.col("upto") <= F.col("total") * share, "test").otherwise("train").alias("split"))
+    # The first three digits of the key make 4,096 parts; only their sums pass through one window.
+    parts = sizes.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, 3))
+    sums = parts.groupBy(F.col("_b").alias("_r")).agg(F.sum("n").alias("_s"))
+    before = sums.select("_r", F.coalesce(F.sum("_s").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = F.sum("n").over(W.partitionBy("_b").orderBy("_k", doc).rowsBetween(W.unboundedPreceding, 0))
+    upto = parts.withColumn("_in", run).join(F.broadcast(before), F.col("_b").eqNullSafe(F.col("_r"))).withColumn("upto", F.col("_before") + F.col("_in"))
+    return upto.crossJoin(F.broadcast(total)).select(doc, "n", F.when(F.col("upto") <= F.col("total") * share, "test").otherwise("train").alias("split"))
 
 
 def greedy_split(sizes: list[tuple[str, int]], share: float) -> set[str]:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from skarn.functions.text import words
+from skarn.operators.datasets import positions
 
 #: The special tokens at the head of every vocabulary.
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
@@ -66,9 +66,10 @@ def context(tokens: Column, before: int, after: int, pad: str = "") -> Column:
 
 def pairs(sentences: DataFrame, doc: str, order: str, text: str, skip: bool = False) -> DataFrame:
     """Consecutive sentences of a document as ``first, second``; with ``skip`` every second pair only."""
-    by = W.partitionBy(doc).orderBy(order)
-    out = sentences.select(doc, order, text, F.lead(text).over(by).alias("second"), (F.row_number().over(by) - 1).alias("pos"), F.lead(order).over(by).alias("_n"))
-    out = out.where("_n IS NOT NULL").select(doc, "pos", F.col(text).alias("first"), "second")
+    # The position is a key of its own within the document, so the pairs are a join without hot keys.
+    at = positions(sentences.select(doc, order, text), doc, order)
+    after = at.select(F.col(doc).alias("_d"), (F.col("pos") - 1).alias("_p"), F.col(text).alias("second"))
+    out = at.join(after, F.col(doc).eqNullSafe(F.col("_d")) & (F.col("pos") == F.col("_p"))).select(doc, "pos", F.col(text).alias("first"), "second")
     return out.where("pos % 2 = 0") if skip else out
 
 

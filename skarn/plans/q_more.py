@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from skarn.functions import labels as lb
+from skarn.operators import datasets as da
+from skarn.operators import dictionary as dic
 from skarn.operators import trees as tr
 from skarn.plans import q_metrics as qm
 from skarn.plans import q_tokens as qt
@@ -33,21 +34,32 @@ def concept_kinds(spark: SparkSession, d: str) -> DataFrame:
     return n.select("label", lb.concept_kind(F.col("label")).alias("kind"), "n")
 
 
+_SAME = "SELECT doc_title, lower(sentence) AS k, sentence, sent_id FROM tram_train WHERE sentence IS NOT NULL AND doc_title IS NOT NULL"
+
+
 @query(
-    sql="SELECT a.sent_id AS a, b.sent_id AS b, string_split(a.sentence, ' ') = string_split(b.sentence, ' ') AS same_tokens FROM tram_train a JOIN tram_train b ON lower(a.sentence) = lower(b.sentence) AND a.sent_id < b.sent_id AND a.doc_title = b.doc_title"
+    sql=f"""
+WITH s AS ({_SAME}), c AS (SELECT doc_title, k, min(sent_id) AS class_id, count(*) AS members, count(DISTINCT sentence) AS texts, count(DISTINCT list_transform(string_split_regex(sentence, '[.!?] +'), lambda x: length(x))) AS boundaries FROM s GROUP BY ALL)
+SELECT class_id, members, texts = 1 AS same_tokens, boundaries = 1 AS same_sentences FROM c WHERE members > 1
+"""
 )
 def comparable_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Whether texts that are equal but for case have the same tokens, within a document."""
-    t = table(spark, d, "tram_train").where("sentence IS NOT NULL AND doc_title IS NOT NULL").select("sent_id", "doc_title", F.lower("sentence").alias("key"), F.split("sentence", " ").alias("t"))
-    a, b = t.select(F.col("sent_id").alias("a"), "doc_title", "key", F.col("t").alias("ta")), t.select(F.col("sent_id").alias("b"), "doc_title", "key", F.col("t").alias("tb"))
-    return a.join(b, ["doc_title", "key"]).where("a < b").select("a", "b", (F.col("ta") == F.col("tb")).alias("same_tokens"))
+    """Classes of texts of a document that are equal but for case: whether all have the same tokens and the same sentence boundaries.
+
+    One row per class with its number of members; equal texts are counted before the classes are made.
+    """
+    t = table(spark, d, "tram_train").where("sentence IS NOT NULL AND doc_title IS NOT NULL")
+    one = t.groupBy("doc_title", "sentence").agg(F.min("sent_id").alias("i"), F.count(F.lit(1)).alias("n"))
+    ends = F.transform(F.split("sentence", "[.!?] +"), lambda x: F.length(x))
+    c = one.withColumn("ends", ends).groupBy("doc_title", F.lower("sentence")).agg(F.min("i").alias("class_id"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("texts"), F.count_distinct("ends").alias("b"))
+    return c.where("members > 1").select("class_id", "members", (F.col("texts") == 1).alias("same_tokens"), (F.col("b") == 1).alias("same_sentences"))
 
 
 @query(sql=f"SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS idx FROM (SELECT DISTINCT unnest(truth) AS label FROM ({qm.GOLD}))")
 def label_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Labels numbered in order; the table has one row per label."""
+    """Labels numbered in order."""
     g = qm.gold(spark, d).select(F.explode("truth").alias("label")).distinct()
-    return g.select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("idx"))
+    return da.numbered(g, "label").select("label", F.col("idx").cast("int").alias("idx"))
 
 
 @query(sql=f"SELECT query, neighbour, label FROM ({qv._near(qv._DIST, '', 1)})")

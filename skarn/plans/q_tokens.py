@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from skarn.functions import indicators as ioc
 from skarn.functions.text import words
+from skarn.operators import datasets as da
 from skarn.operators import dictionary as dic
 from skarn.operators import spans as sp
 from skarn.operators import tokens as tk
@@ -334,8 +334,7 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=f"SELECT sent_id, doc_title, (row_number() OVER (PARTITION BY doc_title ORDER BY sent_id) - 1)::INT AS pos, len(l)::INT AS n FROM ({SENT})")
 def sent_index(spark: SparkSession, d: str) -> DataFrame:
-    by = W.partitionBy("doc_title").orderBy("sent_id")
-    return sents(spark, d).select("sent_id", "doc_title", (F.row_number().over(by) - 1).alias("pos"), F.size("l").alias("n"))
+    return da.positions(sents(spark, d).select("sent_id", "doc_title", F.size("l").alias("n")), "doc_title", "sent_id").select("sent_id", "doc_title", "pos", "n")
 
 
 _PAIR = "SELECT doc_title, (row_number() OVER w - 1)::INT AS pos, sentence AS first, lead(sentence) OVER w AS second, lead(sent_id) OVER w AS nxt FROM tram_train WHERE sentence IS NOT NULL WINDOW w AS (PARTITION BY doc_title ORDER BY sent_id)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import vectors as ve
+from skarn.operators import datasets as da
 from skarn.operators import vectors as ov
 from skarn.plans.registry import query
 from skarn.runtime import broadcast_if_small, ship, table
@@ -95,6 +96,24 @@ def sim_threshold(spark: SparkSession, d: str) -> DataFrame:
     return similarities(spark, d).where("sim > 0.2").select("vec_id", "concept", "sim")
 
 
+@query(sql=f"SELECT vec_id, concept, sim FROM ({_SIM}) WHERE sim >= 0.8")
+def sim_at_least(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of at least 0.80, the bound included."""
+    return similarities(spark, d).where("sim >= 0.8").select("vec_id", "concept", "sim")
+
+
+_EVEN = "SELECT concept FROM (SELECT concept, row_number() OVER (ORDER BY concept) AS r FROM (SELECT DISTINCT label AS concept FROM embeddings)) WHERE r % 2 = 0"
+
+
+@query(sql=f"SELECT vec_id, list(CASE WHEN concept IN ({_EVEN}) THEN sim ELSE 0 END ORDER BY concept) AS sims FROM ({_SIM}) GROUP BY vec_id")
+def sim_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Similarities to all concepts in their order, those outside a label subset set to 0."""
+    s = similarities(spark, d)
+    kept = da.numbered(s.select("concept").distinct(), "concept").where("idx % 2 = 1").select(F.col("concept").alias("kept"))
+    masked = s.join(F.broadcast(kept), F.col("concept") == F.col("kept"), "left").select("vec_id", "concept", F.when(F.col("kept").isNull(), 0.0).otherwise(F.col("sim")).alias("sim"))
+    return masked.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("concept", "sim"))), lambda x: x["sim"]).alias("sims"))
+
+
 @query(sql=f"SELECT vec_id, concept, sim FROM ({_SIM}) WHERE label = concept AND sim BETWEEN 0.3 AND 0.9")
 def sim_band(spark: SparkSession, d: str) -> DataFrame:
     return similarities(spark, d).where("label = concept AND sim BETWEEN 0.3 AND 0.9").select("vec_id", "concept", "sim")
