@@ -10,16 +10,28 @@ from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.text import words
 from skarn.runtime import broadcast_if_small
 
 
+# The initials of concepts that a dictionary is made of (techniques, software, groups, mitigations, data
+# sources), and what is left out: ids, and an alias of one id that is an everyday word.
+KINDS = ("T", "S", "G", "M", "D")
+SKIPPED_IDS = ("S1053.001", "S1053.002")
+SKIPPED_ALIASES = (("S0110", "at"),)
+#: Words that carry no content of their own; they are left out of bags.
+LIGHT_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "is", "it", "its", "of", "on", "or", "over", "that", "the", "their", "this", "to", "via", "was", "were", "with")
+
+
 def phrase_rows(concepts: DataFrame, label: str, phrases: str) -> DataFrame:
-    """``label, phrase`` of every different non-blank alias of an array column."""
-    return concepts.select(F.col(label).alias("label"), F.explode(F.array_distinct(phrases)).alias("phrase")).where("trim(phrase) <> ''").distinct()
+    """``label, phrase`` of every different non-blank alias of an array column; see KINDS and what is skipped. Null labels have none."""
+    rows = concepts.where(F.substring(label, 1, 1).isin(*KINDS) & ~F.col(label).isin(*SKIPPED_IDS)).select(F.col(label).alias("label"), F.explode(F.array_distinct(phrases)).alias("phrase"))
+    for i, alias in SKIPPED_ALIASES:
+        rows = rows.where(~((F.col("label") == i) & (F.col("phrase") == alias)))
+    return rows.where("trim(phrase) <> ''").distinct()
 
 
 def compile_phrases(rows: DataFrame) -> DataFrame:
@@ -47,9 +59,10 @@ def match_phrases(tokens: DataFrame, id_col: str, token_array: str, dictionary:
     return out
 
 
-def compile_bags(rows: DataFrame) -> DataFrame:
-    """``label, bag, slot, n_slots``: a phrase as a set of words, one row per word."""
-    toks = rows.select("label", F.array_sort(F.array_distinct(words(F.col("phrase")))).alias("bag")).where(F.size("bag") > 0).distinct()
+def compile_bags(rows: DataFrame, drop: tuple[str, ...] = LIGHT_WORDS) -> DataFrame:
+    """``label, bag, slot, n_slots``: a phrase as a set of words without the light ones, one row per word; a phrase of light words only has none."""
+    kept = F.filter(words(F.col("phrase")), lambda w: ~w.isin(*drop))
+    toks = rows.select("label", F.array_sort(F.array_distinct(kept)).alias("bag")).where(F.size("bag") > 0).distinct()
     return toks.select("label", F.array_join("bag", " ").alias("bag"), F.explode("bag").alias("slot"), F.size("bag").alias("n_slots"))
 
 
@@ -102,9 +115,32 @@ def bag_spans(matches: DataFrame, id_col: str) -> DataFrame:
     return matches.select(id_col, "label", "spots").mapInPandas(run, f"`{id_col}` {kind}, start int, end int, label string")
 
 
-def match_attribute(tokens: DataFrame, attribute: str, patterns: DataFrame) -> DataFrame:
-    """Tokens whose attribute equals a pattern's value; ``patterns`` has ``value, pattern``."""
-    return tokens.join(broadcast_if_small(patterns), tokens[attribute] == patterns["value"]).drop("value")
+def attribute_patterns(spark: SparkSession, patterns: dict[str, object]) -> DataFrame:
+    """``value, pattern, ord`` of patterns given as a value or as ``{"IN": [values]}``; other predicates raise an error."""
+    rows: list[tuple[str, str, int]] = []
+    for name, spec in patterns.items():
+        if isinstance(spec, dict) and set(spec) != {"IN"}:
+            raise NotImplementedError(f"predicates {sorted(set(spec) - {'IN'})} of pattern {name}")
+        rows += [(v, name, len(rows) + k) for k, v in enumerate(spec["IN"] if isinstance(spec, dict) else [spec])]
+    return spark.createDataFrame(rows, "value string, pattern string, ord bigint")
+
+
+def match_attribute(tokens: DataFrame, attribute: str, patterns: DataFrame, greedy: str = "SET") -> DataFrame:
+    """Tokens whose attribute equals a pattern's value; ``patterns`` has ``value, pattern`` and for FIRST also ``ord``.
+
+    Where several patterns have one value, ``greedy`` says what happens: SET gives a row for each, FIRST the one with the
+    smallest ``ord``, ERROR raises a ValueError. Null attributes match nothing.
+    """
+    if greedy not in ("SET", "FIRST", "ERROR"):
+        raise ValueError(f"greedy must be SET, FIRST or ERROR, not {greedy}")
+    if greedy == "FIRST":
+        patterns = patterns.groupBy("value").agg(F.min_by("pattern", "ord").alias("pattern"))
+    elif greedy == "ERROR":
+        twice = patterns.groupBy("value").agg(F.count_distinct("pattern").alias("n")).where("n > 1").first()
+        if twice is not None:
+            raise ValueError(f"several patterns have the value {twice['value']!r}")
+    known = broadcast_if_small(patterns.select("value", "pattern").distinct())
+    return tokens.join(known, tokens[attribute] == known["value"]).drop("value")
 
 
 def combinations(slots: list[list[int]]) -> list[tuple[int, ...]]:

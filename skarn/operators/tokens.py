@@ -73,6 +73,18 @@ def pairs(sentences: DataFrame, doc: str, order: str, text: str, skip: bool = Fa
     return out.where("pos % 2 = 0") if skip else out
 
 
+def propagate(mentions: DataFrame, chain: list[str], label: str, specific: str) -> DataFrame:
+    """``mentions`` with unlabelled ones (null or ``''``) labelled by their chain, whose keys are ``chain``.
+
+    A chain takes the label of its most specific mention (where ``specific`` holds), else its most frequent label, of
+    equally frequent ones the first in order; a chain without labels stays unlabelled. Its labels are counted before they are compared.
+    """
+    own = F.coalesce(F.col(label), F.lit(""))
+    n = mentions.where(own != "").groupBy(*chain, own.alias("_l")).agg(F.count(F.lit(1)).alias("_c"), F.max(F.coalesce(F.col(specific), F.lit(False))).alias("_s"))
+    best = n.groupBy(*chain).agg(F.min_by("_l", F.struct(~F.col("_s"), -F.col("_c"), "_l")).alias("_chain"))
+    return mentions.join(best, chain, "left").withColumn(label, F.when(own != "", own).otherwise(F.coalesce("_chain", F.lit("")))).drop("_chain")
+
+
 def pick_lemma(candidates: DataFrame, word: str = "word") -> DataFrame:
     """One lemma per word: the shortest, verbs first, then by part of speech and spelling."""
     key = F.struct(F.length("lemma"), F.when(F.col("pos") == "VERB", 0).otherwise(1), "pos", "lemma")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from skarn.functions import prompts as pr
 from skarn.functions import sets as st
 from skarn.operators import datasets as da
 from skarn.plans.q_metrics import GOLD, gold, l_sql
@@ -53,6 +54,45 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     return gold(spark, d).where("sentence IS NOT NULL").crossJoin(F.broadcast(top)).select("sent_id", F.concat_ws("\n", F.lit(_ASK), "top", "sentence").alias("prompt"))
 
 
+def _p_sql(kind: str, text: str, entries: str = "''", few: bool = False) -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "' || chr(10) || "
+    shots = "".join(q(x) for x in ["Examples, which have nothing to do with the text to analyse:", *(f'- "{s}" -> {a}' for s, a in pr.EXAMPLES)]) if few else ""
+    return q(pr.ASK[kind]) + (f"{entries} || chr(10) || " if entries != "''" else "") + shots + f"'`' || {text} || '`'"
+
+
+@query(sql=f"SELECT doc_id, {_p_sql('report', 'text')} AS prompt FROM documents WHERE text IS NOT NULL")
+def prompt_base(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", pr.ask("report", F.col("text")).alias("prompt"))
+
+
+@query(sql=f"SELECT sent_id, {_p_sql('sentence', 'sentence', few=True)} AS prompt FROM tram_test WHERE sentence IS NOT NULL")
+def prompt_few_shot(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tram_test").where("sentence IS NOT NULL").select("sent_id", pr.ask("sentence", F.col("sentence"), few_shot=True).alias("prompt"))
+
+
+@query(sql=f"SELECT sent_id, {_p_sql('sentence', 'sentence')} AS prompt FROM tram_test WHERE sentence IS NOT NULL")
+def prompt_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tram_test").where("sentence IS NOT NULL").select("sent_id", pr.ask("sentence", F.col("sentence")).alias("prompt"))
+
+
+_ENTRY = "SELECT DISTINCT ON (id) id, '- ' || id || ' - ' || coalesce(concept_name, '') || ': ' || coalesce(string_split(description, chr(10))[1], '') AS line FROM (SELECT upper(regexp_replace(technique_id, '^\\s+|\\s+$', '', 'g')) AS id, concept_name, description, rag_id FROM rag_db WHERE technique_id IS NOT NULL) ORDER BY id, rag_id"
+
+
+@query(
+    sql=f"""
+SELECT sent_id, {_p_sql('judge', 'sentence', 'lines')} AS prompt FROM (SELECT sent_id, any_value(sentence) AS sentence, string_agg(line, chr(10) ORDER BY line) AS lines
+FROM (SELECT DISTINCT sent_id, sentence, unnest(truth) AS id FROM ({GOLD}) WHERE sentence IS NOT NULL) JOIN ({_ENTRY}) USING (id) GROUP BY sent_id)
+"""
+)
+def prompt_judge(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of a sentence that the concept table knows, with the first line of their descriptions."""
+    c = table(spark, d, "rag_db").where("technique_id IS NOT NULL").select(F.upper(F.regexp_replace("technique_id", r"^\s+|\s+$", "")).alias("id"), "concept_name", "description", "rag_id")
+    c = c.groupBy("id").agg(F.min_by(F.struct("concept_name", "description"), "rag_id").alias("x")).select("id", pr.entry(F.col("id"), F.col("x.concept_name"), F.col("x.description")).alias("line"))
+    g = gold(spark, d).where("sentence IS NOT NULL")
+    lines = g.select("sent_id", F.explode(F.array_distinct("truth")).alias("id")).join(c, "id").groupBy("sent_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return g.join(lines, "sent_id").select("sent_id", pr.ask("judge", F.col("sentence"), entries=F.col("lines")).alias("prompt"))
+
+
 # Answer templates, chosen by id.
 _TEMPLATES = ("The sentence shows: ", "Techniques: ", "Found: ")
 _ANSWER = f"CASE WHEN len(truth) = 0 THEN 'NO_TTP' ELSE [{', '.join(repr(t) for t in _TEMPLATES)}][sent_id % 3 + 1] || array_to_string(truth, ', ') END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import html as ht
 from skarn.functions import sets as st
+from skarn.functions.text import words
 from skarn.operators import dictionary as dic
 from skarn.operators import graphs as gr
 from skarn.operators import metrics as me
@@ -15,7 +16,7 @@ from skarn.plans import q_metrics as qm
 from skarn.plans import q_tokens as qt
 from skarn.plans.q_text import pages
 from skarn.plans.registry import query
-from skarn.runtime import checkpointed, ship, table
+from skarn.runtime import broadcast_if_small, checkpointed, ship, table
 
 
 @query()
@@ -151,6 +152,43 @@ def tree_match(spark: SparkSession, d: str) -> DataFrame:
     return tr.map_trees(trees(spark, d), ["sent_id", "heads", "deps", "pos"], find, "sent_id bigint, verb int, object int")
 
 
+_PAIR_NAMES = f"SELECT DISTINCT {qt._CONCEPT} AS label, w[1] AS a, w[2] AS b FROM (SELECT technique_id, {qt.w_sql('concept_name')} AS w FROM rag_db WHERE concept_name IS NOT NULL AND technique_id IS NOT NULL) WHERE len(w) = 2"
+_WORDS = f"SELECT sent_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS i FROM ({qt.SENT})"
+
+
+def _pair_sql(related: str) -> str:
+    return f"SELECT sent_id, label, v::INT AS first, o::INT AS second FROM (SELECT x.sent_id, label, x.i AS v, y.i AS o FROM ({_PAIR_NAMES}) p JOIN ({_WORDS}) x ON x.token = p.a JOIN ({_WORDS}) y ON y.token = p.b AND y.sent_id = x.sent_id) WHERE o <> v AND ({related})"
+
+
+def _name_patterns(spark: SparkSession, d: str, operators: tuple[str, ...]) -> DataFrame:
+    """Concept names of two words as dependency patterns: the second word stands in one of the relations to the first."""
+    ship(spark)
+    t = table(spark, d, "rag_db").where("concept_name IS NOT NULL AND technique_id IS NOT NULL")
+    pats = t.select(F.upper(F.regexp_replace("technique_id", r"^\s+|\s+$", "")).alias("label"), words(F.col("concept_name")).alias("w")).where(F.size("w") == 2).distinct()
+    pats = pats.groupBy(F.get("w", 0).alias("a"), F.get("w", 1).alias("b")).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    s = trees(spark, d)
+    hits = s.select("sent_id", F.explode(F.array_distinct("l")).alias("a")).join(broadcast_if_small(pats), "a").join(s.select("sent_id", "l", "heads"), "sent_id").where(F.array_contains("l", F.col("b")))
+
+    def find(sid, labels, a, b, l, heads):
+        fits = [[i for i, w in enumerate(l) if w == x] for x in (a, b)]
+        found = {m for op in operators for m in tr.match_pattern(heads, fits, [(0, op)])}
+        return [(sid, x, *m) for m in sorted(found) for x in labels]
+
+    return tr.map_trees(hits, ["sent_id", "labels", "a", "b", "l", "heads"], find, "sent_id bigint, label string, first int, second int")
+
+
+@query(sql=_pair_sql(_BELOW))
+def action_match(spark: SparkSession, d: str) -> DataFrame:
+    """An action and its target anywhere below it."""
+    return _name_patterns(spark, d, (">>",))
+
+
+@query(sql=_pair_sql(_BELOW + " OR " + _BELOW.replace("(o + 1)", "(v + 1)").replace("= v + 1", "= o + 1")))
+def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
+    """Both words on one path to the root, in either order."""
+    return _name_patterns(spark, d, (">>", "<<"))
+
+
 @query()
 def svo(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)

@@ -145,10 +145,12 @@ def labelset_metrics(spark: SparkSession, d: str) -> DataFrame:
 _TOP10 = f"SELECT members FROM ({_SETS}) WHERE set_name = 'top10'"
 
 
-@query(sql=f"SELECT sent_id, list_transform(members, lambda x: list_contains(truth, x)::INT) AS hot FROM ({GOLD}), ({_TOP10})")
+@query(sql=f"SELECT sent_id, list_transform(list_append(members, 'NO_TTP'), lambda x: list_contains(CASE WHEN len(truth) = 0 THEN ['NO_TTP'] ELSE truth END, x)::INT) AS hot FROM ({GOLD}), ({_TOP10})")
 def multi_hot(spark: SparkSession, d: str) -> DataFrame:
-    top = label_sets(spark, d).where("set_name = 'top10'")
-    return gold(spark, d).crossJoin(F.broadcast(top)).select("sent_id", st.multi_hot(F.col("truth"), F.col("members")).alias("hot"))
+    """One number per label of the set and a last one, ``NO_TTP``, for rows without labels."""
+    top = label_sets(spark, d).where("set_name = 'top10'").select(F.concat("members", F.array(F.lit("NO_TTP"))).alias("members"))
+    own = F.when(F.size("truth") == 0, F.array(F.lit("NO_TTP"))).otherwise(F.col("truth"))
+    return gold(spark, d).crossJoin(F.broadcast(top)).select("sent_id", st.multi_hot(own, F.col("members")).alias("hot"))
 
 
 @query(sql=f"SELECT doc, list_transform(members, lambda x: list_contains(t, x)::INT) AS hot FROM ({_DOCSET}), ({_TOP10})")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from skarn.functions import indicators as ioc
 from skarn.functions.text import words
@@ -138,15 +139,16 @@ def token_base(spark: SparkSession, d: str) -> DataFrame:
 
 # The dictionary: concept names of the retrieval table.
 _CONCEPT = "upper(regexp_replace(technique_id, '^\\s+|\\s+$', '', 'g'))"
-_ROWS = f"SELECT DISTINCT {_CONCEPT} AS label, x AS phrase FROM (SELECT technique_id, unnest([concept_name, split_part(concept_name, ' ', 2)]) AS x FROM rag_db WHERE concept_name IS NOT NULL AND technique_id IS NOT NULL) WHERE trim(x) <> ''"
+_ROWS = f"SELECT DISTINCT {_CONCEPT} AS label, x AS phrase FROM (SELECT technique_id, unnest([concept_name, split_part(concept_name, ' ', 2), {_CONCEPT}]) AS x FROM rag_db WHERE concept_name IS NOT NULL AND technique_id IS NOT NULL) WHERE trim(x) <> '' AND regexp_matches({_CONCEPT}, '^[TSGMD]') AND {_CONCEPT} NOT IN ('S1053.001', 'S1053.002') AND NOT ({_CONCEPT} = 'S0110' AND x = 'at')"
 _DICT = f"SELECT p, string_agg(DISTINCT label, '||' ORDER BY label) AS label FROM (SELECT label, {w_sql('phrase')} AS p FROM ({_ROWS})) WHERE len(p) > 0 GROUP BY p"
 
 
 def concepts(spark: SparkSession, d: str) -> DataFrame:
-    """``label, phrases``: concept names and their second word as alias."""
+    """``label, phrases``: concept names, their second word as alias, and the id itself."""
     t = table(spark, d, "rag_db").where("concept_name IS NOT NULL AND technique_id IS NOT NULL")
     second = F.coalesce(F.get(F.split("concept_name", " "), 1), F.lit(""))
-    return t.select(F.upper(F.regexp_replace("technique_id", r"^\s+|\s+$", "")).alias("label"), F.array("concept_name", second).alias("phrases")).distinct()
+    label = F.upper(F.regexp_replace("technique_id", r"^\s+|\s+$", ""))
+    return t.select(label.alias("label"), F.array("concept_name", second, label).alias("phrases")).distinct()
 
 
 @query(sql=_ROWS)
@@ -200,7 +202,17 @@ def attr_match(spark: SparkSession, d: str) -> DataFrame:
     return dic.match_attribute(t, "token", pats).select("sent_id", "i", "token", "pattern")
 
 
-_BAGS = f"SELECT DISTINCT label, list_sort(list_distinct({w_sql('phrase')})) AS bag FROM ({_ROWS}) WHERE len({w_sql('phrase')}) > 0"
+@query(
+    sql=f"SELECT sent_id, i::INT AS i, token, label AS pattern FROM (SELECT sent_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS i FROM ({SENT})) JOIN (SELECT DISTINCT split_part(lower(concept_name), ' ', 1) AS value, {_CONCEPT} AS label FROM rag_db WHERE concept_name IS NOT NULL AND technique_id IS NOT NULL) ON token = value"
+)
+def attr_match_set(spark: SparkSession, d: str) -> DataFrame:
+    """As attr_match, with every pattern that has the value."""
+    t = sents(spark, d).select("sent_id", F.posexplode("l").alias("i", "token"))
+    pats = concepts(spark, d).select(F.get(F.split(F.lower(F.get("phrases", 0)), " "), 0).alias("value"), F.col("label").alias("pattern"))
+    return dic.match_attribute(t, "token", pats, "SET").select("sent_id", "i", "token", "pattern")
+
+
+_BAGS = f"SELECT label, bag FROM (SELECT DISTINCT label, list_sort(list_distinct(list_filter({w_sql('phrase')}, lambda w: w NOT IN ({', '.join(repr(w) for w in dic.LIGHT_WORDS)})))) AS bag FROM ({_ROWS})) WHERE len(bag) > 0"
 
 
 @query(sql=f"SELECT sent_id, label, array_to_string(bag, ' ') AS bag FROM ({SENT}) JOIN ({_BAGS}) ON list_has_all(l, bag)")
@@ -357,17 +369,18 @@ _MENT = f"SELECT sent_id, token, i, CASE WHEN (i * 3 + sent_id) % 4 = 0 THEN 'E'
 @query(
     sql=f"""
 WITH m AS ({_MENT}), n AS (SELECT sent_id, token, label, count(*) AS c FROM m WHERE label <> '' GROUP BY ALL),
-b AS (SELECT sent_id, token, label AS chain_label FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, token ORDER BY c DESC, label) AS r FROM n) WHERE r = 1)
+w AS (SELECT sent_id, token, arg_max(label, i) AS last FROM m GROUP BY ALL),
+b AS (SELECT sent_id, token, CASE WHEN last <> '' THEN last ELSE label END AS chain_label FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, token ORDER BY c DESC, label) AS r FROM n) JOIN w USING (sent_id, token) WHERE r = 1)
 SELECT sent_id, i::INT AS i, token, CASE WHEN label <> '' THEN label ELSE coalesce(chain_label, '') END AS label FROM m LEFT JOIN b USING (sent_id, token)
 """
 )
 def coref_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Unlabelled mentions take the most frequent label of their chain."""
+    """Unlabelled mentions take the label of their chain's most specific mention (here the last one), else the most frequent one."""
     label = F.when((F.col("i") * 3 + F.col("sent_id")) % 4 == 0, F.concat(F.lit("E"), F.col("i") % 3)).otherwise("")
     m = sents(spark, d).select("sent_id", F.posexplode("l").alias("i", "token")).withColumn("label", label)
-    n = m.where("label <> ''").groupBy("sent_id", "token", "label").agg(F.count(F.lit(1)).alias("c"))
-    best = n.groupBy("sent_id", "token").agg(F.min_by("label", F.struct(-F.col("c"), "label")).alias("chain_label"))
-    return m.join(best, ["sent_id", "token"], "left").select("sent_id", "i", "token", F.when(F.col("label") != "", F.col("label")).otherwise(F.coalesce("chain_label", F.lit(""))).alias("label"))
+    last = W.partitionBy("sent_id", "token").orderBy(F.desc("i"))
+    marked = m.withColumn("specific", F.row_number().over(last) == 1)
+    return tk.propagate(marked, ["sent_id", "token"], "label", "specific").select("sent_id", "i", "token", "label")
 
 
 @query()

@@ -280,3 +280,47 @@ def test_names_in_several_passes(spark, monkeypatch):
     assert [tuple(r) for r in ss.substrings_in(t, "k", "t", names, "i", "n").collect()] == want
     monkeypatch.setattr(ss, "NAMES", 3)
     assert [tuple(r) for r in ss.substrings_in(t, "k", "t", names, "i", "n").collect()] == want
+
+
+def test_attribute_patterns_and_greedy_modes(spark):
+    t = spark.createDataFrame([(0, "run"), (1, None), (2, "load"), (3, "x")], "i int, w string")
+    p = dic.attribute_patterns(spark, {"A": "run", "B": {"IN": ["run", "load"]}})
+    assert {(r["i"], r["pattern"]) for r in dic.match_attribute(t, "w", p).collect()} == {(0, "A"), (0, "B"), (2, "B")}
+    assert {(r["i"], r["pattern"]) for r in dic.match_attribute(t, "w", p, "FIRST").collect()} == {(0, "A"), (2, "B")}
+    with pytest.raises(ValueError, match="several patterns"):
+        dic.match_attribute(t, "w", p, "ERROR")
+    with pytest.raises(ValueError, match="greedy"):
+        dic.match_attribute(t, "w", p, "LAST")
+    with pytest.raises(NotImplementedError, match="REGEX"):
+        dic.attribute_patterns(spark, {"A": {"REGEX": "r.*"}})
+
+
+def test_what_a_dictionary_leaves_out(spark):
+    c = spark.createDataFrame([("S0110", ["at", "At job", None, " "]), ("S1053.001", ["x"]), ("T1", ["at"]), ("X9", ["y"]), (None, ["z"])], "label string, phrases array<string>")
+    rows = dic.phrase_rows(c, "label", "phrases")
+    assert {tuple(r) for r in rows.collect()} == {("S0110", "At job"), ("T1", "at")}
+    bags = dic.compile_bags(spark.createDataFrame([("A", "use of the key"), ("B", "of the")], "label string, phrase string"))
+    assert {(r["label"], r["slot"], r["n_slots"]) for r in bags.collect()} == {("A", "key", 2), ("A", "use", 2)}
+
+
+def test_labels_of_chains(spark):
+    rows = [("c", 0, "", False), ("c", 1, "X", False), ("c", 2, "X", False), ("c", 3, "Y", True), ("d", 0, None, True), ("d", 1, "Z", False), ("d", 2, "W", False), ("d", 3, "Z", False), ("e", 0, "", True)]
+    m = spark.createDataFrame(rows, "chain string, i int, label string, top boolean")
+    got = {(r["chain"], r["i"]): r["label"] for r in tk.propagate(m, ["chain"], "label", "top").collect()}
+    assert got == {("c", 0): "Y", ("c", 1): "X", ("c", 2): "X", ("c", 3): "Y", ("d", 0): "Z", ("d", 1): "Z", ("d", 2): "W", ("d", 3): "Z", ("e", 0): ""}
+
+
+def test_positions_and_numbers_of_hot_groups(spark):
+    r = random.Random(8)
+    rows = [(i * 7, None if i % 3 else "a", f"s{r.randrange(10**6):06d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k bigint, g string, s string").repartition(5)
+    got = {x["k"]: x["pos"] for x in da.positions(df, "g", "k", width=100).collect()}
+    for g in ("a", None):
+        own = sorted(k for k, h, _ in rows if h == g)
+        assert [got[k] for k in own] == list(range(len(own)))
+    order = sorted(x[2] for x in rows)
+    assert [x["s"] for x in da.numbered(df, "s").orderBy("idx").collect()] == order
+    assert da.numbered(df.limit(0), "s").count() == 0
+    first = {(x["pos"], x["second"]) for x in tk.pairs(df, "g", "k", "s").where("g = 'a'").collect()}
+    own = [s for k, g, s in sorted(rows) if g == "a"]
+    assert first == {(i, own[i + 1]) for i in range(len(own) - 1)}
