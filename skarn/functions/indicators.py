@@ -50,13 +50,13 @@ def url_pattern(tlds: tuple[str, ...] | list[str] = (*GENERIC, *COUNTRIES), sche
     """
     tail = r"(?:[/?#](?:[^ \t\r\n\"'<>]*[^ \t\r\n\"'<>.,;:!?()\[\]])?)?"
     domains, odd = "|".join(tlds), "|".join(also_files)
-    labels, port = rf"(?:{LABEL}{HOST_DOT})", "(?::[0-9]{1,5})?"
+    labels, port = rf"(?:[a-z0-9][a-z0-9-]*{HOST_DOT})", "(?::[0-9]{1,5})?"
     full = rf"(?:{'|'.join(schemes)}){COLON}//[^ \t\r\n\"'<>]*[^ \t\r\n\"'<>.,;:!?()\[\]]"
     path = tail[:-1].replace("[/?#]", "/", 1)
-    named = rf"(?:www{HOST_DOT}{labels}+(?:{domains}|{odd})\b{port}{tail}|{labels}+(?:{domains}|{odd})\b{port}{path})"
+    named = rf"www{HOST_DOT}{labels}+(?:{domains}|{odd})\b{port}{tail}"
     # A class of country codes loses the letters that make one of ``also_files``.
     sure = [t if "[" not in t else t[0] + "[" + "".join(c for c in t[2:-1] if t[0] + c not in also_files) + "]" for t in tlds if t not in also_files]
-    return rf"(?i)\b(?:{full}|{named}|{labels}+(?:{'|'.join(sure)})\b{port})"
+    return rf"(?i)\b(?:{full}|{named}|{labels}+(?:(?:{domains}|{odd})\b{port}{path}|(?:{'|'.join(sure)})\b{port}))"
 
 
 def ipv6_pattern() -> str:
