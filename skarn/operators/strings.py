@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,3 +110,53 @@ def indel_ratio(a: str, b: str) -> float:
         hit = row & where.get(c, 0)
         row = (row + hit | row - hit) & full
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
+class Vocabulary:
+    """Distinct strings; ``ratios`` compares one string with all of them at once."""
+
+    #: Bits of a block of a long string; the bit above takes the carry to the next block.
+    BITS = 63
+
+    def __init__(self, strings: Iterable[str]):
+        words = sorted(set(strings), key=len, reverse=True)
+        self.place = {w: i for i, w in enumerate(words)}
+        self._size = np.array([len(w) for w in words], dtype=np.int64)
+        self._code: dict[str, int] = {}
+        flat = np.array([self._code.setdefault(c, len(self._code)) for w in words for c in w], dtype=np.intp)
+        start = np.cumsum(self._size) - self._size
+        # The j-th characters of the strings longer than j: those come first.
+        self._columns = [flat[start[: int((self._size > j).sum())] + j] for j in range(len(words[0]) if words else 0)]
+
+    def ratios(self, a: str) -> np.ndarray:
+        """``indel_ratio(a, w)`` of every string, in the order of ``place``."""
+        kind = np.uint16 if len(a) <= 16 else np.uint64
+        masks, rows = [], []
+        for k in range(0, len(a), self.BITS):
+            part = a[k : k + self.BITS]
+            bits: dict[int, int] = {}
+            for i, c in enumerate(part):
+                if c in self._code:
+                    bits[self._code[c]] = bits.get(self._code[c], 0) | 1 << i
+            m = np.zeros(len(self._code), dtype=kind)
+            m[list(bits)] = list(bits.values())
+            masks.append(m)
+            rows.append(np.full(len(self._size), (1 << len(part)) - 1, dtype=kind))
+        one = len(masks) == 1
+        for col in self._columns:
+            n, carry = len(col), kind(0)
+            for m, row in zip(masks, rows, strict=True):
+                r = row[:n]
+                hit = r & m[col]
+                added = r + hit if one else r + hit + carry
+                if not one:
+                    carry = added >> np.uint64(self.BITS)
+                r[:] = added | r - hit
+                if not one:
+                    r &= np.uint64((1 << self.BITS) - 1)
+        common = np.zeros(len(self._size), dtype=np.int64)
+        for k, row in enumerate(rows):
+            n = len(a[k * self.BITS : (k + 1) * self.BITS])
+            common += n - np.bitwise_count(row & kind((1 << n) - 1)).astype(np.int64)
+        total = len(a) + self._size
+        return np.where(total > 0, 2 * common / np.maximum(total, 1), 1.0)

@@ -70,6 +70,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def busy_tasks(spark: SparkSession) -> int:
+    """Partitions for rows that are few bytes and much work: a number given to ``repartition`` isn't lowered to fit the bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def need(df: DataFrame, *columns: str) -> None:
     """Raise a ValueError that names the columns an operator misses."""
     missing = [c for c in columns if c not in df.columns]

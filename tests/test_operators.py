@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -324,3 +325,43 @@ def test_positions_and_numbers_of_hot_groups(spark):
     first = {(x["pos"], x["second"]) for x in tk.pairs(df, "g", "k", "s").where("g = 'a'").collect()}
     own = [s for k, g, s in sorted(rows) if g == "a"]
     assert first == {(i, own[i + 1]) for i in range(len(own) - 1)}
+
+
+def test_alignment_of_many_similar_candidates_ends():
+    """Every node of a graph fits every node of the templates; a search of one pair after another took 26 s for the first 28 of the 160."""
+    r = random.Random(8)
+    graphs = [([{"type": r.choice("abcd"), "ioc": [], "nlp": [r.choice(["load", "loads", "reload", "loaded"])]} for _ in range(4)], [(0, 1), (1, 2), (2, 3)]) for _ in range(40)]
+    templates = [([{"type": r.choice("abcd"), "ioc": [], "nlp": [w], "count": r.randint(0, 9)} for w in ["load", "reload", "loads"] * 3], [(a, b, r.randint(1, 9)) for a in range(9) for b in range(9) if a != b], 50) for _ in range(4)]
+    began = time.monotonic()
+    found = [x for *_, s in gr.Aligner(templates).scores(graphs, 0.9) for x in s]
+    assert len(found) == 160 and time.monotonic() - began < 30
+
+
+def test_vocabulary_has_the_ratio_of_every_string():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcé") for _ in range(r.choice([0, 1, 8, 16, 17, 63, 64, 65, 130]))) for _ in range(80)]
+    voc = ss.Vocabulary(words)
+    for a in [*words, "zz"]:
+        got = voc.ratios(a)
+        assert all(got[i] == ss.indel_ratio(a, w) for w, i in voc.place.items())
+
+
+def test_learning_takes_the_first_most_similar_node():
+    r = random.Random(9)
+    words = ["load", "loads", "run", "ran", "drop", "", "10.0.0.1", "10.0.0.2"]
+    for _ in range(100):
+        graphs = [([{"type": r.choice("ab"), "nlp": r.sample(words, r.randint(0, 2)), "ioc": r.sample(words[6:], r.randint(0, 1))} for _ in range(3)], [(0, 1), (1, 2)], 1) for _ in range(6)]
+        nodes, edges = [], {}
+        for g_nodes, g_edges, _ in graphs:
+            place = []
+            for x in g_nodes:
+                sims = [gr.node_similarity(n, x) for n in nodes]
+                k = sims.index(max(sims)) if sims and max(sims) > 0.7 else len(nodes)
+                if k < len(nodes):
+                    nodes[k] |= {"count": nodes[k]["count"] + 1} | {f: sorted({*nodes[k][f], *x[f]}) for f in ("nlp", "ioc")}
+                else:
+                    nodes.append({**x, "count": 1})
+                place.append(k)
+            for a, b in g_edges:
+                edges[place[a], place[b]] = edges.get((place[a], place[b]), 0) + 1
+        assert gr.learn(graphs) == (nodes, edges, 6)
